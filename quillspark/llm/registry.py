@@ -1,9 +1,11 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from quillspark.llm import licenses, mixing
+from quillspark.llm import licenses, mixing, quality_classifier, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
+    "op9_quality": quality_classifier.op9_quality,
     "op10_licenses": licenses.op10_licenses,
 }
 SQL = {"op4_mixing": mixing.SQL, "op10_licenses": licenses.SQL}
