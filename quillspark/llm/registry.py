@@ -1,10 +1,11 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from quillspark.llm import licenses, mixing, quality_classifier, toxicity
+from quillspark.llm import licenses, mixing, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_quality": quality_classifier.op9_quality,
     "op10_licenses": licenses.op10_licenses,
 }
