@@ -1,10 +1,11 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from quillspark.llm import html_text, licenses, mixing, quality_classifier, quality_rules, toxicity
+from quillspark.llm import html_text, licenses, mixing, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_html": html_text.op7_html,
     "op9_quality": quality_classifier.op9_quality,
