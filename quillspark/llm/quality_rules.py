@@ -1,12 +1,13 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted and raw text.
 
 Words and word pairs (lower case) and word shapes are hashed into N_BINS bins. Two
-multinomials are counted: the target over trusted rows (labels.quality = 1), the raw
-one over every document. A document's score is the mean of log(target/raw) over its
+multinomials are counted: the raw one over every document, the target over at most
+MAX_TRUSTED trusted rows (labels.quality = 1), chosen by a hash of the id; with that bound
+the labels are broadcast and no text is shuffled. A document's score is the mean of log(target/raw) over its
 n-grams. It fails the method where that mean is below THRESHOLD: its n-grams are, on
 average, that much rarer in trusted text than in the raw corpus.
 
-Both counts cover all rows; add-one smoothing keeps unseen bins finite. What reaches the
+Add-one smoothing keeps unseen bins finite. What reaches the
 driver is 2 * N_BINS numbers. Base rules (word count, repeated words) come first.
 
 A null or empty text has no words and fails the base rules. Without trusted rows the
@@ -24,7 +25,7 @@ from quillspark.llm import textkernel as tk
 from quillspark.llm.quality_classifier import _CLASS
 from quillspark.llm.shared import one_label, table
 
-N_BINS, THRESHOLD, MIN_WORDS, MAX_REPEAT_PERCENT = 8192, -0.7, 50, 50
+MAX_TRUSTED, N_BINS, THRESHOLD, MIN_WORDS, MAX_REPEAT_PERCENT = 20_000, 8192, -0.7, 50, 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _LEAD = np.ones(256, bool)
@@ -103,10 +104,10 @@ def bin_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> np.ndarray:
     """log(target / raw) of each bin."""
-    trusted = one_label(labels, "quality").where("label = 1").select("doc_id")
-    raw, target = bin_counts(docs), bin_counts(docs.join(trusted, "doc_id", "left_semi"))
+    trusted = one_label(labels, "quality").where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(max_trusted)
+    raw, target = bin_counts(docs), bin_counts(docs.join(F.broadcast(trusted), "doc_id", "left_semi"))
     if not target.sum():
         return np.zeros(N_BINS)
     return np.log((target + 1) / (target.sum() + N_BINS)) - np.log((raw + 1) / (raw.sum() + N_BINS))
