@@ -17,9 +17,10 @@ each set is verified against the one it shares most segments with, segments whos
 all in one component are done, and what remains is paired across components, not within.
 Verification is exact on the shingles of the whole texts.
 
-Null and empty texts, and texts without words, have no shingles and no links. Rows without
-doc_id are left out of links and get no component. Rows that repeat a doc_id count as one
-document per distinct text; the id links them.
+Null and empty texts, and texts without words, have no shingles and no links: their component
+is their own id. Rows without doc_id make no links, but belong to the component of an equal
+set if there is one, else to none. Where rows repeat a doc_id, each row has its own set, and
+the id is linked if one of its texts is.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from quillspark.llm.shared import table, text_bytes, written
 
 WORDS, PERCENT, RATIO = 5, 80, 1.5
 _BITS = 52
+_STEP = tk.salted(59, 1)[0]
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
@@ -90,35 +92,42 @@ def bands_for(size: int, ends: list[int], percent: int = PERCENT) -> list[tuple[
         b += 1
 
 
-def segment_keys(shingles: np.ndarray, band: int, differ: int) -> tuple[np.ndarray, int]:
-    """Fingerprints of a set's filled segments in a band, and how many of them have to be indexed."""
+def segment_keys(shingles: np.ndarray, band: int, differ: int) -> list[tuple[np.ndarray, int]]:
+    """Fingerprints of a set's filled segments in a band, and how many of them have to be indexed.
+
+    A set that fills too few segments (which the shared one might not be among) goes on to a
+    further partition of the universe, as any partner with the same fate does.
+    """
     salt = tk.salted(53, band + 1)[band]
     if differ == 0:
-        return tk.mix(shingles.sum(keepdims=True) + salt), 1
+        return [(tk.mix(shingles.sum(keepdims=True) + salt), 1)]
     if differ == 1:  # the set and its one-deletion neighbourhood
         h = tk.mix(shingles)
-        return tk.mix(np.concatenate(([h.sum()], h.sum() - h)) + salt), len(h) + 1
-    m = 3 * (differ + 1) // 2
-    h = tk.mix(shingles ^ salt)
-    segment = (h % tk.U64(m)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
-    s = segment[order]
-    at = np.flatnonzero(np.diff(s, prepend=-1))
-    return tk.mix(np.add.reduceat(tk.mix(h[order]), at) + s[at].astype(tk.U64) * tk.salted(59, 1)[0] + salt), differ + 1
+        return [(tk.mix(np.concatenate(([h.sum()], h.sum() - h)) + salt), len(h) + 1)]
+    m, out = 3 * (differ + 1) // 2, []
+    while not out or len(out[-1][0]) <= differ:
+        h = tk.mix(shingles ^ salt)
+        segment = (h % tk.U64(m)).astype(np.int64)
+        order = np.argsort(segment, kind="stable")
+        s = segment[order]
+        at = np.flatnonzero(np.diff(s, prepend=-1))
+        out.append((tk.mix(np.add.reduceat(tk.mix(h[order]), at) + s[at].astype(tk.U64) * _STEP + salt), differ + 1))
+        salt = tk.mix(np.array([salt]))[0]
+    return out
 
 
 def _keys(sets: list[np.ndarray], percent: int, ratio: float):
-    """All keys of a block's sets: key, number of the set, number of the (set, band), keys to index of each (set, band)."""
+    """All keys of a block's sets: key, number of the set, number of the (set, partition), keys to index of each such."""
     ends = band_ends(max((len(s) for s in sets), default=1) * 100 // percent + 1, ratio)
     keys, owner, group, need = [], [], [], []
     for i, s in enumerate(sets):
         if len(s):
             for band, differ in bands_for(len(s), ends, percent):
-                k, n = segment_keys(s, band, differ)
-                keys.append(k)
-                owner.append(np.full(len(k), i))
-                group.append(np.full(len(k), len(need)))
-                need.append(n)
+                for k, n in segment_keys(s, band, differ):
+                    keys.append(k)
+                    owner.append(np.full(len(k), i))
+                    group.append(np.full(len(k), len(need)))
+                    need.append(n)
     if not keys:
         z = np.zeros(0, np.int64)
         return np.zeros(0, tk.U64), z, z, z
@@ -142,9 +151,7 @@ def jaccard_links(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT,
     total = text_bytes(docs)
     blocks = into_blocks(docs, total)
     n_buckets = max(1, total // 12 // KEYS_PER_BUCKET)
-    n_blocks = max(1, total)
     heads = into_blocks(members.where("n_shingles > 0 and doc_id = representative").select("doc_id", F.lit("").alias("text")).distinct(), total).select("block", "doc_id")
-    del n_blocks
 
     def prepared(rows: pa.Table, chosen: pa.Array):
         """A block's representatives and their keys; of rows that repeat a doc_id, each distinct text."""
