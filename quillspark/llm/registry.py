@@ -1,9 +1,10 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from quillspark.llm import html_text, licenses, mixing, quality_classifier, quality_rules, shingle_join, suffix_dedup, toxicity
+from quillspark.llm import html_text, licenses, mixing, quality_classifier, quality_rules, shingle_join, suffix_dedup, toxicity, vector_dedup
 
 QUERIES = {
     "op1_shingle_join": shingle_join.op1_shingle_join,
+    "op2_vector_dedup": vector_dedup.op2_vector_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
