@@ -8,14 +8,14 @@
    examples, which keeps each term's largest weight in each block. The index is bounded
    by MAX_TRAIN and MAX_TERMS and is broadcast.
 4. A document's blocks are visited by falling upper bound; the search ends when no bound
-   exceeds the K-th best cosine found, so the K nearest are exact.
+   exceeds the K-th best cosine found, so the K largest cosines are exact.
 5. The neighbours' labels are weighted by cosine and shrunk towards the share of label 1
    among examples; the neighbours' ids are the evidence.
 
 Labels come only from rows whose crc32(doc_id) mod 4 isn't 2; only the text is scored.
 A text without vocabulary (null, empty, unknown words) gets the share of label 1 among
 the examples without vocabulary. Without labelled rows every score is 0. Ties in cosine
-go to the smaller doc_id. Repeated rows are scored each.
+go to the example whose block has the larger bound, then to the smaller doc_id. Repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -76,25 +76,23 @@ class BlockMaxIndex:
         self.n_docs = n_docs
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, ties to the earlier one, and the cosines."""
+        """The k examples of largest cosine above 0, and the cosines; of equal ones those in the blocks visited first."""
         bound = w @ self.top[t]
-        blocks = np.argsort(-bound, kind="stable")
         ids, sims, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in blocks:
-            if bound[b] <= 0 or (len(ids) >= k and bound[b] < kth - 1e-12):
+        for b in np.argsort(-bound.round(12), kind="stable"):
+            if bound[b] <= kth + 1e-12:
                 break
+            lo, hi = self.at[t * self.n_blocks + b], self.at[t * self.n_blocks + b + 1]
             acc = np.zeros(self.block)
-            for x, q in zip(t, w):
-                lo, hi = self.at[x * self.n_blocks + b], self.at[x * self.n_blocks + b + 1]
-                acc[self.doc[lo:hi] - b * self.block] += q * self.weight[lo:hi]
-            hit = np.flatnonzero(acc > 0)
+            for x in np.flatnonzero(hi > lo):
+                acc[self.doc[lo[x] : hi[x]] - b * self.block] += w[x] * self.weight[lo[x] : hi[x]]
+            hit = np.flatnonzero(acc > kth + 1e-12)
             ids, sims = np.concatenate((ids, hit + b * self.block)), np.concatenate((sims, acc[hit]))
-            if len(ids) > k:
-                best = np.lexsort((ids, -sims.round(12)))[:k]
-                ids, sims = ids[best], sims[best]
             if len(ids) >= k:
-                kth = sims.min()
-        best = np.lexsort((ids, -sims.round(12)))
+                best = np.argsort(-sims.round(12), kind="stable")[:k]
+                ids, sims = ids[best], sims[best]
+                kth = sims[-1]
+        best = np.argsort(-sims.round(12), kind="stable")
         return ids[best], sims[best]
 
 
@@ -173,16 +171,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels, max_train)))
 
     def score(batches):
-        m = pickle.loads(shared.value)
+        m, seen = pickle.loads(shared.value), {}
         for b in tk.slices(batches):
             d, t, c = counts(*tk.pack(b.column("text")), m["vocabulary"])
             w = unit(d, c, t, m["weight"], b.num_rows)
             s, evidence = np.full(b.num_rows, m["rest"]), [[]] * b.num_rows
             which, at = np.unique(d, return_index=True)
             for i, lo, hi in zip(which, at, [*at[1:], len(d)]):
-                ids, sims = m["index"].nearest(t[lo:hi], w[lo:hi], k)
-                s[i] = ((sims * m["y"][ids]).sum() + 0.5 * m["prior"]) / (sims.sum() + 0.5)
-                evidence[i] = m["id"][ids].tolist()
+                key = t[lo:hi].tobytes() + c[lo:hi].tobytes()  # texts with equal vectors are looked up once
+                if key not in seen:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    ids, sims = m["index"].nearest(t[lo:hi], w[lo:hi], k)
+                    seen[key] = ((sims * m["y"][ids]).sum() + 0.5 * m["prior"]) / (sims.sum() + 0.5), m["id"][ids].tolist()
+                s[i], evidence[i] = seen[key]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod("doc_id", 4) == 2).alias("held_out"))
