@@ -1,12 +1,59 @@
-"""The corpus pipeline: stages that each apply one corpus operator to what the one before kept."""
+"""The corpus pipeline: stages that each apply one corpus operator to what the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents, with n_chars kept up to date. SQL can't express the stages; tests
+compare them with brute force.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.llm.mixing import mix_sources
+from quillspark.llm.quality_classifier import score_quality
+from quillspark.llm.sentencepiece_codec import encode_documents
+from quillspark.llm.shared import WORD, table, written
+from quillspark.llm.shingle_join import near_duplicates
+from quillspark.llm.suffix_dedup import GRAM, LENGTH, find_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return score_quality(docs, table(spark, sf_dir, "labels"), *COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies; of rows that repeat a doc_id, one. Rows without doc_id stay."""
+    later = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    one = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
+    left = docs.join(later, "doc_id", "left_anti").withColumn("_one", one)
+    return left.where("_one = 1 or doc_id is null").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without passages that occur earlier."""
+    cut = find_repeats(docs, LENGTH, GRAM, "lang", "source", as_text=True)
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: each document as many times as the mix takes it."""
+    mix = mix_sources(docs).where("taken > 0").groupBy("doc_id", "size").agg((F.max("taken") / F.col("size")).cast("int").alias("copies"))
+    sized = docs.withColumn("size", F.regexp_count("text", F.lit(WORD)).cast("long"))
+    taken = sized.alias("d").join(mix.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.size") == F.col("m.size")))
+    return taken.select(*[f"d.{c}" for c in COLUMNS], F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and ids of each document of the mix."""
+    encoded = encode_documents(docs.select("doc_id", "text", "lang", "source"), None, keep=("lang", "source"))
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
-from quillspark.llm.shared import table, written
 
-STAGES: list = []
+STAGES = [("quality", quality), ("near_copies", near_copies), ("repeats", repeats), ("mixture", mixture), ("tokens", tokens)]
 ORACLE_SQL = None
 
 

@@ -138,8 +138,8 @@ def votes(v: np.ndarray, model: dict, k: int = K) -> np.ndarray:
     return np.where(np.abs(v).sum(1) > 0, out, model["prior"])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, k: int = K, model: dict | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, held_out, score, predicted."""
+def score_quality(docs: DataFrame, labels: DataFrame, *keep: str, max_train: int = MAX_TRAIN, k: int = K, model: dict | None = None) -> DataFrame:
+    """docs(doc_id, text, keep...) -> doc_id, keep..., held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model or fit(docs, labels, max_train)))
 
     def score(batches):
@@ -147,10 +147,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
         for b in tk.slices(batches):
             d, f, n = features(*tk.pack(b.column("text")))
             s = votes(project(d, f, n, b.num_rows, m["weight"], m["basis"]), m, k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in keep], b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", *keep, "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod("doc_id", 3) == 1).alias("held_out"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in keep if c != "text"], (crc_mod("doc_id", 3) == 1).alias("held_out"))
+    carried = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(score, f"doc_id long{carried}, held_out boolean, score double, predicted int")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

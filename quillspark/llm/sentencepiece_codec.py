@@ -203,7 +203,7 @@ def codec(model_file: str) -> Codec:
     return Codec(model_file)
 
 
-def encode_documents(docs: DataFrame, model_file: str | None = None, size: int = CHUNK, giant: int = GIANT, *keep: str) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str | None = None, size: int = CHUNK, giant: int = GIANT, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text, keep...) -> doc_id, text, ids (array of int), keep..."""
     model = model_file or default_model()
     rows = docs.select("doc_id", "text", *keep)

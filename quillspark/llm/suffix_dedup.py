@@ -214,8 +214,11 @@ def _first_of(key: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
     return later
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, *keep: str) -> DataFrame:
-    """docs(doc_id, text, keep...) -> doc_id, keep..., n_bytes, spans (array of removed [start, end)), kept (the remaining bytes)."""
+def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, *keep: str, as_text: bool = False) -> DataFrame:
+    """docs(doc_id, text, keep...) -> doc_id, keep..., n_bytes, spans (array of removed [start, end)), kept (the remaining bytes).
+
+    as_text: kept is a string instead, without characters of which only some bytes remain.
+    """
     total = text_bytes(docs)
     blocks = into_blocks(docs, total, *keep)
     n_buckets = max(1, total // 30 // KEYS_PER_BUCKET)
@@ -294,10 +297,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, *keep:
         pairs = pa.StructArray.from_arrays([pa.array(b - off[doc]), pa.array(e - off[doc])], ["start", "end"])
         kept_off = np.concatenate(([0], np.cumsum(~hit)))[off]
         kept = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(kept_off.astype(np.int64).tobytes()), pa.py_buffer(buf[~hit].tobytes())]).cast(pa.binary())
+        if as_text:
+            kept = pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
         cols = [s["rows"].column("doc_id"), *[s["rows"].column(k) for k in keep], pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pairs), kept]
         return pa.table(cols, names=["doc_id", *keep, "n_bytes", "spans", "kept"])
 
-    out_sql = ", ".join(["doc_id long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in carried], "n_bytes long", "spans array<struct<start:long,end:long>>", "kept binary"])
+    out_sql = ", ".join(["doc_id long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in carried], "n_bytes long", "spans array<struct<start:long,end:long>>", "kept string" if as_text else "kept binary"])
     out_schema = to_arrow_schema(_parse_datatype_string(out_sql))
     told = blocks.groupBy("block").applyInArrow(ask, MESSAGE_SQL).groupBy("bucket").applyInArrow(tell, MESSAGE_SQL)
     by_window = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask_windows, MESSAGE_SQL).groupBy("bucket").applyInArrow(tell_windows, MESSAGE_SQL)

@@ -42,7 +42,7 @@ def test_documents_and_giants(spark):
     rows = [(i, t, i % 3) for i, t in enumerate(texts(4, 25))] + [(98, None, 1), (99, "", 1), (None, "a b", 1), (3, "same text " * 40, 1), (3, "same text " * 40, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, k int")
     sp = sc.codec(sc.default_model()).sp
-    got = sc.decode_documents(sc.encode_documents(df, None, 50, 120, "k"), None, "text").collect()
+    got = sc.decode_documents(sc.encode_documents(df, None, 50, 120, ("k",)), None, "text").collect()
     want = sorted(((i, t, sp.encode(t or "")) for i, t, _ in rows), key=str)
     assert sorted(((r.doc_id, r.text, list(r.ids)) for r in got), key=str) == want
     assert all(r.decoded == (r.text or "") for r in got)
