@@ -40,9 +40,9 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "part", "item")
 
 
-def _says(attrs: str) -> tuple[bool, bool]:
-    """Whether an element's attributes mark it as a part beside the article, and as readers' comments."""
-    part = comment = False
+def _says(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether an element's attributes mark it as a part beside the article, as readers' comments, and as a header only."""
+    part = comment = header = False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).strip()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
@@ -54,8 +54,9 @@ def _says(attrs: str) -> tuple[bool, bool]:
                 tokens = [t.lower() for t in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", one)]
                 hit = [t for t in tokens if t in _WORDS or t.startswith(_STEMS)]
                 comment |= any(t.startswith(("comment", "disqus", "repl", "discussion")) for t in hit)
-                part |= bool(hit)
-    return part, comment
+                header |= "header" in hit
+                part |= bool(set(hit) - {"header"})
+    return part, comment, header
 
 
 def blocks(page: str) -> list[tuple[str, int, float, str, int, int]]:
@@ -120,13 +121,13 @@ def blocks(page: str) -> list[tuple[str, int, float, str, int, int]]:
                 pop(i)
                 break
         part, main, comments = stack[-1][1:] if stack else (0, 0, 0)
-        said, comment = _says(m[4]) if m[4].strip() and tag not in ("html", "body") else (False, False)
+        said, comment, heads = _says(m[4]) if m[4].strip() and tag not in ("html", "body") else (False, False, False)
         comments |= comment
         if tag in _MAIN and not comments:
             main, part = 1, part if main else 0
-        elif tag == "header" and main and not part:
+        elif (tag == "header" or heads) and main and not (part or said or comments):
             part = 2
-        elif tag in _PARTS or said or comments:
+        elif tag in _PARTS or said or comments or heads:
             part = 1
         if tag == "a":
             linked += 1
@@ -142,6 +143,7 @@ LABELLED = (
     (45, 0.0, 30, 0.0, 60, 0.0, 1, 0, 0, 1), (1, 0.0, 40, 0.0, 55, 0.0, 1, 0, 0, 1), (9, 0.0, 0, 0.0, 50, 0.0, 1, 0, 0, 1), (120, 0.1, 30, 0.0, 2, 0.0, 1, 0, 0, 1),
     (25, 0.2, 3, 0.0, 0, 0.0, 1, 0, 1, 1), (4, 0.0, 80, 0.0, 6, 0.0, 1, 0, 1, 1), (12, 0.0, 10, 1.0, 9, 1.0, 1, 0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
     (18, 0.4, 40, 0.0, 20, 0.1, 1, 0, 0, 1), (3, 1.0, 50, 0.0, 40, 0.0, 1, 0, 0, 1), (6, 0.5, 50, 0.0, 40, 0.0, 1, 0, 1, 1), (300, 0.0, 1, 0.0, 8, 0.9, 1, 0, 0, 1),
+    (3, 0.0, 40, 0.0, 4, 1.0, 1, 0, 0, 1), (1, 0.0, 9, 0.0, 6, 1.0, 1, 0, 0, 1), (3, 1.0, 50, 0.0, 0, 0.0, 1, 0, 0, 1), (4, 1.0, 30, 0.0, 12, 0.0, 1, 0, 0, 1), (6, 1.0, 5, 1.0, 5, 1.0, 1, 0, 0, 1),
     (3, 1.0, 4, 1.0, 3, 1.0, 1, 0, 1, 0), (5, 1.0, 60, 0.0, 5, 1.0, 1, 0, 1, 0), (2, 1.0, 2, 1.0, 30, 0.0, 1, 0, 1, 0), (8, 0.95, 7, 1.0, 0, 0.0, 1, 0, 1, 0),
     (20, 0.0, 50, 0.0, 30, 0.0, 1, 1, 0, 0), (60, 0.0, 50, 0.0, 60, 0.0, 1, 1, 0, 0), (3, 0.0, 70, 0.0, 20, 0.0, 1, 1, 0, 0), (4, 1.0, 40, 0.0, 4, 1.0, 1, 1, 1, 0), (150, 0.0, 9, 0.0, 9, 0.0, 1, 1, 0, 0),
     (2, 1.0, 2, 1.0, 2, 1.0, -1, 1, 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, -1, 1, 1, 0), (30, 0.0, 5, 1.0, 9, 0.0, -1, 1, 0, 0), (12, 0.1, 80, 0.0, 0, 0.0, -1, 1, 0, 0), (5, 0.0, 2, 1.0, 7, 0.0, -1, 1, 0, 0),
