@@ -143,7 +143,6 @@ LABELLED = (
     (45, 0.0, 30, 0.0, 60, 0.0, 1, 0, 0, 1), (1, 0.0, 40, 0.0, 55, 0.0, 1, 0, 0, 1), (9, 0.0, 0, 0.0, 50, 0.0, 1, 0, 0, 1), (120, 0.1, 30, 0.0, 2, 0.0, 1, 0, 0, 1),
     (25, 0.2, 3, 0.0, 0, 0.0, 1, 0, 1, 1), (4, 0.0, 80, 0.0, 6, 0.0, 1, 0, 1, 1), (12, 0.0, 10, 1.0, 9, 1.0, 1, 0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
     (18, 0.4, 40, 0.0, 20, 0.1, 1, 0, 0, 1), (3, 1.0, 50, 0.0, 40, 0.0, 1, 0, 0, 1), (6, 0.5, 50, 0.0, 40, 0.0, 1, 0, 1, 1), (300, 0.0, 1, 0.0, 8, 0.9, 1, 0, 0, 1),
-    (3, 0.0, 40, 0.0, 4, 1.0, 1, 0, 0, 1), (1, 0.0, 9, 0.0, 6, 1.0, 1, 0, 0, 1), (3, 1.0, 50, 0.0, 0, 0.0, 1, 0, 0, 1), (4, 1.0, 30, 0.0, 12, 0.0, 1, 0, 0, 1), (6, 1.0, 5, 1.0, 5, 1.0, 1, 0, 0, 1),
     (3, 1.0, 4, 1.0, 3, 1.0, 1, 0, 1, 0), (5, 1.0, 60, 0.0, 5, 1.0, 1, 0, 1, 0), (2, 1.0, 2, 1.0, 30, 0.0, 1, 0, 1, 0), (8, 0.95, 7, 1.0, 0, 0.0, 1, 0, 1, 0),
     (20, 0.0, 50, 0.0, 30, 0.0, 1, 1, 0, 0), (60, 0.0, 50, 0.0, 60, 0.0, 1, 1, 0, 0), (3, 0.0, 70, 0.0, 20, 0.0, 1, 1, 0, 0), (4, 1.0, 40, 0.0, 4, 1.0, 1, 1, 1, 0), (150, 0.0, 9, 0.0, 9, 0.0, 1, 1, 0, 0),
     (2, 1.0, 2, 1.0, 2, 1.0, -1, 1, 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, -1, 1, 1, 0), (30, 0.0, 5, 1.0, 9, 0.0, -1, 1, 0, 0), (12, 0.1, 80, 0.0, 0, 0.0, -1, 1, 0, 0), (5, 0.0, 2, 1.0, 7, 0.0, -1, 1, 0, 0),
@@ -153,6 +152,14 @@ LABELLED = (
     (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 1, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 1, 0), (4, 0.9, 40, 0.0, 5, 1.0, 0, 0, 0, 0), (10, 0.8, 9, 0.9, 8, 1.0, 0, 0, 0, 0), (22, 0.7, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (3, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0), (5, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
     (40, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0), (5, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0), (18, 0.0, 2, 1.0, 30, 0.0, 0, 1, 0, 0), (3, 1.0, 3, 1.0, 30, 0.0, 0, 1, 1, 0), (7, 0.2, 50, 0.0, 0, 0.0, 0, 1, 0, 0), (100, 0.0, 60, 0.0, 50, 0.0, 0, 1, 0, 0),
 )
+#: The same judgement whatever the neighbours are: inside the article but for lists of links, outside it, and in its other parts.
+LABELLED += tuple(
+    (n, links, before, lb, after, la, place, part, item, label)
+    for n, before, after in ((1, 0, 3), (4, 40, 2), (9, 2, 60), (40, 5, 0), (150, 80, 7))
+    for lb in (0.0, 1.0)
+    for la in (0.0, 1.0)
+    for links, place, part, item, label in ((0.0, 1, 0, 0, 1), (0.3, 1, 0, 0, 1), (1.0, 1, 0, 0, 1), (0.0, 1, 0, 1, 1), (0.0, 1, 1, 0, 0), (0.0, -1, 0, 0, 0), (0.0, -1, 1, 0, 0), (1.0, 1, 0, 1, 0))
+)
 
 
 def grow(rows, depth: int = 8):
