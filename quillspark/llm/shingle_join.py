@@ -40,6 +40,8 @@ from quillspark.llm.shared import table, text_bytes, written
 WORDS, PERCENT, RATIO = 5, 80, 1.5
 _BITS = 52
 _STEP = tk.salted(59, 1)[0]
+_FEW = tk.salted(41, 64)
+_SALT = tk.salted(53, 256)  # more bands than sizes of 64 bits can have
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
@@ -57,7 +59,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int = WORDS) -> list[np.nd
             out.append(np.unique(gram[cut[i] : cut[i + 1]]))
         elif n_words[i]:
             few = word[first[i] : first[i] + n_words[i]]
-            out.append(tk.mix((few * tk.salted(41, len(few))).sum(keepdims=True) + tk.U64(len(few))))
+            out.append(tk.mix((few * _FEW[: len(few)]).sum(keepdims=True) + tk.U64(len(few))))
         else:
             out.append(np.zeros(0, tk.U64))
     return out
@@ -92,46 +94,56 @@ def bands_for(size: int, ends: list[int], percent: int = PERCENT) -> list[tuple[
         b += 1
 
 
-def segment_keys(shingles: np.ndarray, band: int, differ: int) -> list[tuple[np.ndarray, int]]:
-    """Fingerprints of a set's filled segments in a band, and how many of them have to be indexed.
+def segment_keys(shingles: np.ndarray, owner: np.ndarray, band: int, differ: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Fingerprints of sets' filled segments in a band, by partition: keys, their sets, and how many of each set have to be indexed.
 
-    A set that fills too few segments (which the shared one might not be among) goes on to a
-    further partition of the universe, as any partner with the same fate does.
+    shingles: of all sets, one after the other; owner: their sets, ascending. A set that fills
+    too few segments (which the shared one might not be among) goes on to a further partition
+    of the universe, as any partner with the same fate does.
     """
-    salt = tk.salted(53, band + 1)[band]
+    salt = _SALT[band]
+    at = np.flatnonzero(np.diff(owner, prepend=-1))
     if differ == 0:
-        return [(tk.mix(shingles.sum(keepdims=True) + salt), 1)]
+        return [(tk.mix(np.add.reduceat(shingles, at) + salt), owner[at], 1)]
     if differ == 1:  # the set and its one-deletion neighbourhood
         h = tk.mix(shingles)
-        return [(tk.mix(np.concatenate(([h.sum()], h.sum() - h)) + salt), len(h) + 1)]
+        total, size = np.add.reduceat(h, at), np.diff(np.append(at, len(h)))
+        return [(tk.mix(np.concatenate((total, np.repeat(total, size) - h)) + salt), np.concatenate((owner[at], owner)), int(size.max()) + 1)]
     m, out = 3 * (differ + 1) // 2, []
-    while not out or len(out[-1][0]) <= differ:
+    while len(shingles):
         h = tk.mix(shingles ^ salt)
-        segment = (h % tk.U64(m)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        s = segment[order]
-        at = np.flatnonzero(np.diff(s, prepend=-1))
-        out.append((tk.mix(np.add.reduceat(tk.mix(h[order]), at) + s[at].astype(tk.U64) * _STEP + salt), differ + 1))
-        salt = tk.mix(np.array([salt]))[0]
+        place = owner * m + (h % tk.U64(m)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        p = place[order]
+        at = np.flatnonzero(np.diff(p, prepend=-1))
+        sets = p[at] // m
+        out.append((tk.mix(np.add.reduceat(tk.mix(h[order]), at) + (p[at] % m).astype(tk.U64) * _STEP + salt), sets, differ + 1))
+        few = np.bincount(sets, minlength=int(owner[-1]) + 1)[owner] <= differ
+        shingles, owner, salt = shingles[few], owner[few], tk.mix(np.array([salt]))[0]
     return out
 
 
 def _keys(sets: list[np.ndarray], percent: int, ratio: float):
     """All keys of a block's sets: key, number of the set, number of the (set, partition), keys to index of each such."""
-    ends = band_ends(max((len(s) for s in sets), default=1) * 100 // percent + 1, ratio)
-    keys, owner, group, need = [], [], [], []
-    for i, s in enumerate(sets):
-        if len(s):
-            for band, differ in bands_for(len(s), ends, percent):
-                for k, n in segment_keys(s, band, differ):
-                    keys.append(k)
-                    owner.append(np.full(len(k), i))
-                    group.append(np.full(len(k), len(need)))
-                    need.append(n)
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = band_ends(int(size.max(initial=1)) * 100 // percent + 1, ratio)
+    in_band: dict[tuple[int, int], list[int]] = {}
+    for n in np.unique(size[size > 0]):
+        for place in bands_for(int(n), ends, percent):
+            in_band.setdefault(place, []).append(n)
+    keys, owners, groups, need = [], [], [], []
+    for (band, differ), sizes in sorted(in_band.items()):
+        some = np.flatnonzero(np.isin(size, sizes))
+        for k, owner, n in segment_keys(np.concatenate([sets[i] for i in some]), np.repeat(some, size[some]), band, differ):
+            keys.append(k)
+            owners.append(owner)
+            which, at = np.unique(owner, return_inverse=True)
+            groups.append(at + len(need))
+            need.extend([n] * len(which))
     if not keys:
         z = np.zeros(0, np.int64)
         return np.zeros(0, tk.U64), z, z, z
-    return np.concatenate(keys) >> tk.U64(64 - _BITS), np.concatenate(owner), np.concatenate(group), np.array(need)
+    return np.concatenate(keys) >> tk.U64(64 - _BITS), np.concatenate(owners), np.concatenate(groups), np.array(need)
 
 
 def jaccard_links(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, ratio: float = RATIO) -> tuple[DataFrame, DataFrame]:

@@ -41,6 +41,7 @@ def salted(seed: int, n: int) -> np.ndarray:
 
 BYTE = salted(11, 256)
 BASE = U64(0xD6E8FEB86659FD93)
+_STEPS = 48
 
 
 def powers(n: int) -> np.ndarray:
@@ -49,9 +50,6 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POW = powers(256)
-
-
 def pack(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty texts."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -90,25 +88,33 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | edge[1:n]
     start = np.flatnonzero(begins)
-    return start, np.flatnonzero(ends) + 1, np.searchsorted(off, start, "right") - 1
+    return start, np.flatnonzero(ends) + 1, np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start, off)))
 
 
 def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-    """A hash of each of the disjoint, ordered byte spans. table: a number for each byte (0 to skip it is not special)."""
-    global _POW
+    """A hash of each of the disjoint byte spans: a polynomial in BASE over the table's numbers of its bytes, and its length.
+
+    Spans are worked on by falling length, one byte of all at a time; what is left of the few
+    that are longer than _STEPS is summed up at once.
+    """
     length = end - start
-    full = np.flatnonzero(length > 0)
-    out = np.zeros(len(start), U64)
-    if not len(full):
-        return mix(out)
-    start, length = start[full], length[full]
-    if length.max() > len(_POW):
-        _POW = powers(int(length.max()) * 2)
-    first = np.concatenate(([0], np.cumsum(length)[:-1]))
-    pos = np.arange(int(length.sum())) - np.repeat(first, length)
-    at = pos + np.repeat(start, length)
-    out[full] = np.add.reduceat(table[buf[at]] * _POW[pos], first) + length.astype(U64) * _MUL
-    return mix(out)
+    order = np.argsort(np.minimum(-length, 0).clip(-_STEPS), kind="stable")
+    at, short = start[order], np.minimum(length[order], _STEPS)
+    many = np.searchsorted(-short, -np.arange(short[0] if len(short) else 0), "left")  # spans with more than k bytes
+    h = np.zeros(len(start), U64)
+    for k, n in enumerate(many):
+        h[:n] = h[:n] * BASE + table[buf[at[:n] + k]]
+    out = np.empty(len(start), U64)
+    out[order] = h
+    long = np.flatnonzero(length > _STEPS)
+    if len(long):
+        rest = length[long] - _STEPS
+        power = powers(int(rest.max()) + 1)
+        first = np.concatenate(([0], np.cumsum(rest)[:-1]))
+        pos = np.arange(int(rest.sum())) - np.repeat(first, rest)
+        bytes_ = buf[pos + np.repeat(start[long] + _STEPS, rest)]
+        out[long] = out[long] * power[rest] + np.add.reduceat(table[bytes_] * power[np.repeat(rest, rest) - 1 - pos], first)
+    return mix(out + length.astype(U64) * _MUL)
 
 
 def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
