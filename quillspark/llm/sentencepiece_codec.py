@@ -203,8 +203,8 @@ def codec(model_file: str) -> Codec:
     return Codec(model_file)
 
 
-def encode_documents(docs: DataFrame, model_file: str | None = None, size: int = CHUNK, giant: int = GIANT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs(doc_id, text, keep...) -> doc_id, text, ids (array of int), keep..."""
+def encode_documents(docs: DataFrame, model_file: str | None = None, size: int = CHUNK, giant: int = GIANT, keep: tuple[str, ...] = (), verify: bool = False) -> DataFrame:
+    """docs(doc_id, text, keep...) -> doc_id, text, keep..., ids (array of int); with verify also round_trip: whether they decode to the text."""
     model = model_file or default_model()
     rows = docs.select("doc_id", "text", *keep)
     long = F.coalesce(F.char_length("text"), F.lit(0)) > giant
@@ -216,11 +216,12 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, size: int =
             short = [i for i, t in enumerate(texts) if len(t) < size]
             ids = dict(zip(short, c.sp.encode([texts[i] for i in short], num_threads=1)))
             out = [ids[i] if i in ids else c.encode(t, size) for i, t in enumerate(texts)]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in b.schema.names], pa.array(out, pa.list_(pa.int32()))], [*b.schema.names, "ids"])
+            back = [pa.array([c.sp.decode(i) == t for i, t in zip(out, texts)], pa.bool_())] if verify else []
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in b.schema.names], pa.array(out, pa.list_(pa.int32())), *back], [*b.schema.names, "ids", *["round_trip"] * verify])
 
     order = ["doc_id", "text", *keep]
     sql = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    short = rows.where(~long).mapInArrow(whole, f"{sql}, ids array<int>")
+    short = rows.where(~long).mapInArrow(whole, f"{sql}, ids array<int>" + ", round_trip boolean" * verify)
     giants = written(rows.where(long).withColumn("_row", F.expr("uuid()")))  # written, so that a row keeps its name
 
     def cut(batches):
@@ -255,7 +256,10 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, size: int =
     states = parts.mapInArrow(transfer, "_row string, k int, n int, matrix binary").groupBy("_row").applyInArrow(combine, "_row string, k int, x int, y int")
     ids = parts.join(states, ["_row", "k"]).select("_row", "k", "part", "lo", "hi", "x", "y").mapInArrow(trace, "_row string, k int, ids array<int>")
     ids = ids.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).alias("ids"))
-    return short.select(*order, "ids").unionByName(giants.join(ids, "_row").select(*order, "ids"))
+    long_ones = giants.join(ids, "_row").select(*order, "ids")
+    if verify:
+        long_ones = decode_documents(long_ones, model, "text", *keep).withColumn("round_trip", F.col("decoded") == F.col("text")).drop("decoded")
+    return short.unionByName(long_ones)
 
 
 def decode_documents(encoded: DataFrame, model_file: str | None = None, *keep: str) -> DataFrame:
@@ -275,6 +279,5 @@ def decode_documents(encoded: DataFrame, model_file: str | None = None, *keep: s
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as decimal numbers, comma between), round_trip (decoding gives the text back)."""
-    both = decode_documents(encode_documents(table(spark, sf_dir, "documents")), None, "text")
-    text = F.coalesce("text", F.lit(""))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), (F.col("decoded") == text).alias("round_trip"))
+    both = encode_documents(table(spark, sf_dir, "documents"), verify=True)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "round_trip")

@@ -47,3 +47,5 @@ def test_documents_and_giants(spark):
     assert sorted(((r.doc_id, r.text, list(r.ids)) for r in got), key=str) == want
     assert all(r.decoded == (r.text or "") for r in got)
     assert sc.encode_documents(df.limit(0)).count() == 0
+    checked = sc.encode_documents(df, None, 50, 120, verify=True).collect()
+    assert len(checked) == len(rows) and all(r.round_trip for r in checked)
