@@ -146,8 +146,8 @@ def _keys(sets: list[np.ndarray], percent: int, ratio: float):
     return np.concatenate(keys) >> tk.U64(64 - _BITS), np.concatenate(owners), np.concatenate(groups), np.array(need)
 
 
-def jaccard_links(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, ratio: float = RATIO) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id, n_shingles, representative of each row; and a, b: links of representatives that connect all that are linked."""
+def linked_sets(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, ratio: float = RATIO) -> tuple[DataFrame, DataFrame]:
+    """(members, labels): doc_id, n_shingles, representative of each row; and id, component of the representatives that have links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def prints(batches):
@@ -248,35 +248,41 @@ def verified(pairs: DataFrame, found: DataFrame, n_words: int, percent: int) ->
 
 
 def _linked(found: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """Links that connect all candidates that are linked, by rounds of pairs between components that still share a segment."""
+    """id, component of all candidates with links, by rounds of pairs between components that still share a segment."""
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     size = found.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     first = found.where("leader is not null").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na")).join(size, "b").where(fits)
-    links = written(verified(first.select("a", "b"), found, n_words, percent))
+    labels = written(components(verified(first.select("a", "b"), found, n_words, percent), "a", "b"))
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for last in (False, True):
-        where = components(links, "a", "b")
-        named = found.select("doc_id", "n", "keys").join(where, found.doc_id == where.id, "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode("keys").alias("key"))
+        named = found.select("doc_id", "n", "keys").join(labels, found.doc_id == labels.id, "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode("keys").alias("key"))
         mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("doc_id", "component", "n"), F.xxhash64("doc_id")).alias("head")).where("x < y").select("key", "head")
-        rest = named.join(mixed, "key")
+        rest = written(named.join(mixed, "key"))
         if last:  # all pairs across components
-            rest = written(rest.select("key", "doc_id", "component", "n"))
             pairs = rest.alias("l").join(rest.alias("r"), F.expr("l.key = r.key and l.component < r.component")).selectExpr("l.doc_id as a", "l.n as na", "r.doc_id as b", "r.n as nb")
         else:
             pairs = rest.where("component <> head.component").selectExpr("doc_id as a", "n as na", "head.doc_id as b", "head.n as nb")
         pairs = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs)
-        more = written(verified(pairs, found, n_words, percent))
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
-    return links
+        labels, tried = _merged(labels, verified(pairs, found, n_words, percent)), tried.unionByName(pairs)
+    return labels
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links (a, b): only components that these join are sought anew."""
+    links = written(links)
+    ends = [labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c")) for c in ("a", "b")]
+    joined = links.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    moved = written(components(joined.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")), "a", "b")).withColumnRenamed("component", "to")
+    fresh = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))
+    every = labels.unionByName(fresh)
+    return written(every.join(moved.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, representative, component_id for each row."""
-    members, links = jaccard_links(docs, n_words, percent)
-    where = components(links, "a", "b")
-    # a doc_id whose rows have different texts joins their classes
-    return members.join(where, members.representative == where.id, "left").select("doc_id", "n_shingles", "representative", F.coalesce("component", "representative").alias("component_id"))
+    members, labels = linked_sets(docs, n_words, percent)
+    return members.join(labels, members.representative == labels.id, "left").select("doc_id", "n_shingles", "representative", F.coalesce("component", "representative").alias("component_id"))
 
 
 def op1_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
