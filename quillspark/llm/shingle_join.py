@@ -14,7 +14,8 @@ segments would be tiny, and the whole set with its one-deletion neighbourhood is
 The counts come from a bucketed exchange of segment fingerprints (see exchange.py), which
 also names the first set with each segment. Links are then found as a search for components:
 each set is verified against the one it shares most segments with, segments whose sets are
-all in one component are done, and what remains is paired across components, not within.
+all in one component are done, and what remains is compared across components, not within: in
+tiles, by how many segments two sets share, which has to be at least as many as a link needs.
 Verification is exact on the shingles of the whole texts.
 
 Null and empty texts, and texts without words, have no shingles and no links: their component
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from quillspark.llm import textkernel as tk
 from quillspark.llm.components import components
 from quillspark.llm.exchange import KEYS_PER_BUCKET, MESSAGE, MESSAGE_SQL, answers, in_order, into_blocks, receive, reply, send
-from quillspark.llm.shared import table, text_bytes, written
+from quillspark.llm.shared import n_parts, table, text_bytes, written
 
-WORDS, PERCENT, RATIO = 5, 80, 1.5
+WORDS, PERCENT, RATIO, TILE = 5, 80, 1.5, 256
 _BITS = 52
 _STEP = tk.salted(59, 1)[0]
 _FEW = tk.salted(41, 64)
@@ -124,8 +125,10 @@ def segment_keys(shingles: np.ndarray, owner: np.ndarray, band: int, differ: int
 
 
 def _keys(sets: list[np.ndarray], percent: int, ratio: float):
-    """All keys of a block's sets: key, number of the set, number of the (set, partition), keys to index of each such."""
+    """All keys of a block's sets: key, number of the set, number of the (set, partition), keys to index of each such,
+    and for each set how many keys at least it shares with any partner that isn't larger."""
     size = np.array([len(s) for s in sets], np.int64)
+    least = np.ones(len(sets), np.int64)
     ends = band_ends(int(size.max(initial=1)) * 100 // percent + 1, ratio)
     in_band: dict[tuple[int, int], list[int]] = {}
     for n in np.unique(size[size > 0]):
@@ -134,7 +137,11 @@ def _keys(sets: list[np.ndarray], percent: int, ratio: float):
     keys, owners, groups, need = [], [], [], []
     for (band, differ), sizes in sorted(in_band.items()):
         some = np.flatnonzero(np.isin(size, sizes))
-        for k, owner, n in segment_keys(np.concatenate([sets[i] for i in some]), np.repeat(some, size[some]), band, differ):
+        found = segment_keys(np.concatenate([sets[i] for i in some]), np.repeat(some, size[some]), band, differ)
+        if differ > 1:  # of the filled segments all but `differ` agree
+            own = some[np.searchsorted(ends, size[some]) == band]
+            least[own] = np.maximum(1, np.bincount(found[0][1], minlength=len(sets))[own] - differ)
+        for k, owner, n in found:
             keys.append(k)
             owners.append(owner)
             which, at = np.unique(owner, return_inverse=True)
@@ -142,8 +149,8 @@ def _keys(sets: list[np.ndarray], percent: int, ratio: float):
             need.extend([n] * len(which))
     if not keys:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, tk.U64), z, z, z
-    return np.concatenate(keys) >> tk.U64(64 - _BITS), np.concatenate(owners), np.concatenate(groups), np.array(need)
+        return np.zeros(0, tk.U64), z, z, z, least
+    return np.concatenate(keys) >> tk.U64(64 - _BITS), np.concatenate(owners), np.concatenate(groups), np.array(need), least
 
 
 def linked_sets(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, ratio: float = RATIO) -> tuple[DataFrame, DataFrame]:
@@ -173,7 +180,7 @@ def linked_sets(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, r
         return (rows, sets, *_keys(sets, percent, ratio))
 
     def ask(key, rows, chosen):
-        rows, sets, k, owner, _, _ = prepared(rows, chosen.column("doc_id"))
+        rows, sets, k, owner, *_ = prepared(rows, chosen.column("doc_id"))
         if not len(k):
             return MESSAGE.empty_table()
         doc = rows.column("doc_id").to_numpy()[owner]
@@ -194,7 +201,7 @@ def linked_sets(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, r
 
     def candidates(key, rows, told):
         chosen = told.filter(pc.equal(told.column("kind"), 0)).column("bucket_doc")
-        rows, sets, k, owner, group, need = prepared(rows, chosen)
+        rows, sets, k, owner, group, need, least = prepared(rows, chosen)
         if not len(k):
             return cand_schema.empty_table()
         distinct, inverse = np.unique(k, return_inverse=True)
@@ -204,6 +211,9 @@ def linked_sets(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, r
         taken = rank[(place < need[group[rank]]) & (total[inverse][rank] > 1)]
         ids = rows.column("doc_id").to_numpy()
         text = rows.column("text").to_pylist()
+        twice = np.flatnonzero(total[inverse] > 1)
+        twice = twice[np.argsort(owner[twice], kind="stable")]
+        cut2 = np.searchsorted(owner[twice], np.arange(len(sets) + 1))
         by_owner = taken[np.argsort(owner[taken], kind="stable")]
         cut = np.searchsorted(owner[by_owner], np.arange(len(sets) + 1))
         out = []
@@ -215,13 +225,13 @@ def linked_sets(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, r
             if len(leader):
                 names, often = np.unique(leader, return_counts=True)
                 best = int(names[often.argmax()])
-            out.append({"doc_id": int(ids[i]), "n": len(sets[i]), "leader": best, "keys": np.unique(distinct[mine]).astype(np.int64).tolist(), "body": zstandard.compress((text[i] or "").encode(), 3)})
+            out.append({"doc_id": int(ids[i]), "n": len(sets[i]), "leader": best, "keys": np.unique(distinct[mine]).astype(np.int64).tolist(), "shared": np.unique(k[twice[cut2[i] : cut2[i + 1]]] & tk.U64(0x7FFFFFFF)).astype(np.int32).tolist(), "least": int(least[i]), "body": zstandard.compress((text[i] or "").encode(), 3)})
         return pa.Table.from_pylist(out, cand_schema) if out else cand_schema.empty_table()
 
-    cand_schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("leader", pa.int64()), ("keys", pa.list_(pa.int64())), ("body", pa.binary())])
+    cand_schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("leader", pa.int64()), ("keys", pa.list_(pa.int64())), ("shared", pa.list_(pa.int32())), ("least", pa.int32()), ("body", pa.binary())])
     told = blocks.groupBy("block").cogroup(heads.groupBy("block")).applyInArrow(ask, MESSAGE_SQL).groupBy("bucket").applyInArrow(tell, MESSAGE_SQL)
     both = told.withColumn("bucket_doc", F.lit(None).cast("long")).unionByName(heads.select("block", F.lit(0).alias("bucket"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("body"), F.col("doc_id").alias("bucket_doc")))
-    found = written(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(candidates, "doc_id long, n long, leader long, keys array<long>, body binary"))
+    found = written(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(candidates, "doc_id long, n long, leader long, keys array<long>, shared array<int>, least int, body binary"))
     return members, _linked(found, n_words, percent)
 
 
@@ -247,24 +257,85 @@ def verified(pairs: DataFrame, found: DataFrame, n_words: int, percent: int) ->
     return wide.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
 
 
+def across(rest: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that share an indexed key and enough keys in all, each once.
+
+    rest: doc_id, n, component, key, g (how many share the key). Keys that few share are dealt
+    out in buckets; the sets of a crowded key go to tiles of TILE by TILE, tasks of their own.
+    The counted keys are cut to 31 bits: chance can only add to a count, and what passes is verified.
+    Pairs are compared by matrix products over the tile's common keys and only leave it if
+    the count allows a link.
+    """
+    parts = n_parts(rest.sparkSession) * 4
+    t = F.ceil(F.col("g") / TILE).cast("int")
+    side = F.pmod(F.xxhash64("doc_id"), t).cast("int")
+    rows = rest.withColumn("t", t).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    # tiles (i, j) with i <= j: a set is in those of its own row and column
+    rows = rows.select("key", "doc_id", "n", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), F.pmod("key", F.lit(parts)).alias("bucket"))
+    wide = rows.join(found.select("doc_id", "keys", "shared", "least"), "doc_id")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        key = rows.column("key").to_numpy()
+        doc, n, comp, least, side = (rows.column(c).to_numpy() for c in ("doc_id", "n", "component", "least", "side"))
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        lists = {}
+        for c in ("keys", "shared"):
+            arr = rows.column(c).combine_chunks() if isinstance(rows.column(c), pa.ChunkedArray) else rows.column(c)
+            lists[c] = arr.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(arr).to_numpy())))
+        order = np.argsort(key, kind="stable")
+        cut = np.flatnonzero(np.diff(key[order], prepend=key[order][0] - 1))
+        out_a, out_b = [], []
+        for lo, hi in zip(cut, [*cut[1:], len(order)]):
+            at = order[lo:hi]
+            if (comp[at] == comp[at[0]]).all():
+                continue
+
+            def incidence(c, below=None):
+                flat, off = lists[c]
+                size = off[at + 1] - off[at]
+                who = np.repeat(np.arange(len(at)), size)
+                what = flat[np.repeat(off[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+                if below is not None:
+                    who, what = who[what < below], what[what < below]
+                _, col, often = np.unique(what, return_inverse=True, return_counts=True)
+                new = np.cumsum(often > 1) - 1
+                keep = often[col] > 1
+                m = np.zeros((len(at), int((often > 1).sum())), np.float32)
+                m[who[keep], new[col[keep]]] = 1
+                return m
+
+            both = incidence("shared")
+            before = incidence("keys", key[at[0]])
+            small, large = np.minimum(n[at][:, None], n[at][None]), np.maximum(n[at][:, None], n[at][None])
+            need = np.where(n[at][:, None] > n[at][None], least[at][:, None], least[at][None])
+            good = (comp[at][:, None] < comp[at][None]) & (100 * small >= percent * large) & (both @ both.T >= need) & (before @ before.T == 0)
+            if i != j:
+                good &= side[at][:, None] != side[at][None]
+            x, y = np.nonzero(good)
+            out_a.append(doc[at[x]])
+            out_b.append(doc[at[y]])
+        ids = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b)]
+        return pa.table([pa.array(v) for v in ids], ["a", "b"])
+
+    return wide.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _linked(found: DataFrame, n_words: int, percent: int) -> DataFrame:
     """id, component of all candidates with links, by rounds of pairs between components that still share a segment."""
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     size = found.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     first = found.where("leader is not null").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na")).join(size, "b").where(fits)
     labels = written(components(verified(first.select("a", "b"), found, n_words, percent), "a", "b"))
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for last in (False, True):
         named = found.select("doc_id", "n", "keys").join(labels, found.doc_id == labels.id, "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode("keys").alias("key"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("doc_id", "component", "n"), F.xxhash64("doc_id")).alias("head")).where("x < y").select("key", "head")
-        rest = written(named.join(mixed, "key"))
-        if last:  # all pairs across components
-            pairs = rest.alias("l").join(rest.alias("r"), F.expr("l.key = r.key and l.component < r.component")).selectExpr("l.doc_id as a", "l.n as na", "r.doc_id as b", "r.n as nb")
+        mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("doc_id", "component", "n"), F.xxhash64("doc_id")).alias("head")).where("x < y").select("key", "head", "g")
+        rest = named.join(mixed, "key")
+        if last:
+            pairs = across(written(rest.drop("head")), found, percent)
         else:
-            pairs = rest.where("component <> head.component").selectExpr("doc_id as a", "n as na", "head.doc_id as b", "head.n as nb")
-        pairs = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        labels, tried = _merged(labels, verified(pairs, found, n_words, percent)), tried.unionByName(pairs)
+            pairs = rest.where("component <> head.component").selectExpr("doc_id as a", "n as na", "head.doc_id as b", "head.n as nb").where(fits).select("a", "b").distinct()
+        labels = _merged(labels, verified(written(pairs), found, n_words, percent))
     return labels
 
 

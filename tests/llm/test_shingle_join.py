@@ -50,6 +50,7 @@ def corpus(seed, n=150):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_all_pairs_compared(spark, monkeypatch, seed):
     monkeypatch.setattr("quillspark.llm.exchange.BLOCK_BYTES", 4000)
+    monkeypatch.setattr(sj, "TILE", 5)
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = sorted(tuple(r) for r in sj.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect())
@@ -74,7 +75,7 @@ def test_every_linked_pair_shares_an_indexed_key():
         keys = []
         for s in (x, y):
             found = set()
-            k, _, group, need = sj._keys([s], 80, 1.5)
+            k, _, group, need, _ = sj._keys([s], 80, 1.5)
             for g in range(len(need)):
                 found |= set(sorted(k[group == g])[: need[g]])  # any common order will do
             keys.append(found)
