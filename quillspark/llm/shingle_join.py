@@ -39,7 +39,7 @@ from quillspark.llm.exchange import KEYS_PER_BUCKET, MESSAGE, MESSAGE_SQL, answe
 from quillspark.llm.shared import n_parts, table, text_bytes, written
 
 WORDS, PERCENT, RATIO, TILE = 5, 80, 1.5, 256
-_BITS = 52
+_BITS, _CODE = 52, tk.U64(0x7FFFFFFF)
 _STEP = tk.salted(59, 1)[0]
 _FEW = tk.salted(41, 64)
 _SALT = tk.salted(53, 256)  # more bands than sizes of 64 bits can have
@@ -225,13 +225,13 @@ def linked_sets(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, r
             if len(leader):
                 names, often = np.unique(leader, return_counts=True)
                 best = int(names[often.argmax()])
-            out.append({"doc_id": int(ids[i]), "n": len(sets[i]), "leader": best, "keys": np.unique(distinct[mine]).astype(np.int64).tolist(), "shared": np.unique(k[twice[cut2[i] : cut2[i + 1]]] & tk.U64(0x7FFFFFFF)).astype(np.int32).tolist(), "least": int(least[i]), "body": zstandard.compress((text[i] or "").encode(), 3)})
+            out.append({"doc_id": int(ids[i]), "n": len(sets[i]), "leader": best, "keys": np.unique(distinct[mine] & _CODE).astype(np.int32).tolist(), "shared": np.unique(k[twice[cut2[i] : cut2[i + 1]]] & _CODE).astype(np.int32).tolist(), "least": int(least[i]), "body": zstandard.compress((text[i] or "").encode(), 3)})
         return pa.Table.from_pylist(out, cand_schema) if out else cand_schema.empty_table()
 
-    cand_schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("leader", pa.int64()), ("keys", pa.list_(pa.int64())), ("shared", pa.list_(pa.int32())), ("least", pa.int32()), ("body", pa.binary())])
+    cand_schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("leader", pa.int64()), ("keys", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("least", pa.int32()), ("body", pa.binary())])
     told = blocks.groupBy("block").cogroup(heads.groupBy("block")).applyInArrow(ask, MESSAGE_SQL).groupBy("bucket").applyInArrow(tell, MESSAGE_SQL)
     both = told.withColumn("bucket_doc", F.lit(None).cast("long")).unionByName(heads.select("block", F.lit(0).alias("bucket"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("body"), F.col("doc_id").alias("bucket_doc")))
-    found = written(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(candidates, "doc_id long, n long, leader long, keys array<long>, shared array<int>, least int, body binary"))
+    found = written(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(candidates, "doc_id long, n long, leader long, keys array<int>, shared array<int>, least int, body binary"))
     return members, _linked(found, n_words, percent)
 
 
@@ -262,7 +262,7 @@ def across(rest: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
     rest: doc_id, n, component, key, g (how many share the key). Keys that few share are dealt
     out in buckets; the sets of a crowded key go to tiles of TILE by TILE, tasks of their own.
-    The counted keys are cut to 31 bits: chance can only add to a count, and what passes is verified.
+    Keys are cut to 31 bits from here on: chance can only add candidates, and what passes is verified.
     Pairs are compared by matrix products over the tile's common keys and only leave it if
     the count allows a link.
     """
@@ -272,32 +272,34 @@ def across(rest: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     rows = rest.withColumn("t", t).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     # tiles (i, j) with i <= j: a set is in those of its own row and column
     rows = rows.select("key", "doc_id", "n", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), F.pmod("key", F.lit(parts)).alias("bucket"))
-    wide = rows.join(found.select("doc_id", "keys", "shared", "least"), "doc_id")
+    # one list per set: its keys, those that are indexed negative (less 1, as a key may be 0)
+    codes = F.transform("shared", lambda k: F.when(F.array_contains("keys", k), -1 - k).otherwise(k))
+    wide = rows.join(found.select("doc_id", codes.alias("codes"), "least"), "doc_id")
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         key = rows.column("key").to_numpy()
         doc, n, comp, least, side = (rows.column(c).to_numpy() for c in ("doc_id", "n", "component", "least", "side"))
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        lists = {}
-        for c in ("keys", "shared"):
-            arr = rows.column(c).combine_chunks() if isinstance(rows.column(c), pa.ChunkedArray) else rows.column(c)
-            lists[c] = arr.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(arr).to_numpy())))
+        codes = rows.column("codes")
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        flat, off = codes.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(codes).to_numpy())))
         order = np.argsort(key, kind="stable")
-        cut = np.flatnonzero(np.diff(key[order], prepend=key[order][0] - 1))
+        cut = np.flatnonzero(np.diff(key[order], prepend=-1))
         out_a, out_b = [], []
         for lo, hi in zip(cut, [*cut[1:], len(order)]):
             at = order[lo:hi]
             if (comp[at] == comp[at[0]]).all():
                 continue
 
-            def incidence(c, below=None):
-                flat, off = lists[c]
+            def incidence(below=None):
                 size = off[at + 1] - off[at]
                 who = np.repeat(np.arange(len(at)), size)
                 what = flat[np.repeat(off[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
-                if below is not None:
-                    who, what = who[what < below], what[what < below]
+                if below is not None:  # the indexed keys before this one
+                    keep = (what < 0) & (-1 - what < below)
+                    who, what = who[keep], what[keep]
+                what = np.where(what < 0, -1 - what, what)
                 _, col, often = np.unique(what, return_inverse=True, return_counts=True)
                 new = np.cumsum(often > 1) - 1
                 keep = often[col] > 1
@@ -305,8 +307,7 @@ def across(rest: DataFrame, found: DataFrame, percent: int) -> DataFrame:
                 m[who[keep], new[col[keep]]] = 1
                 return m
 
-            both = incidence("shared")
-            before = incidence("keys", key[at[0]])
+            both, before = incidence(), incidence(key[at[0]])
             small, large = np.minimum(n[at][:, None], n[at][None]), np.maximum(n[at][:, None], n[at][None])
             need = np.where(n[at][:, None] > n[at][None], least[at][:, None], least[at][None])
             good = (comp[at][:, None] < comp[at][None]) & (100 * small >= percent * large) & (both @ both.T >= need) & (before @ before.T == 0)
