@@ -15,7 +15,7 @@
 Labels come only from rows whose crc32(doc_id) mod 4 isn't 2; only the text is scored.
 A text without vocabulary (null, empty, unknown words) gets the share of label 1 among
 the examples without vocabulary. Without labelled rows every score is 0. Ties in cosine
-go to the example whose block has the larger bound, then to the smaller doc_id. Repeated rows are scored each.
+go to the example whose block has the larger bound, then to the earlier one in the index. Repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import textkernel as tk
 from quillspark.llm.shared import crc_mod, labelled_sample, table
 
-MAX_TRAIN, MAX_TERMS, BLOCK, K, THRESHOLD, LEAST_LLR = 12_000, 4096, 64, 15, 0.3, 15.0
+MAX_TRAIN, MAX_TERMS, BLOCK, K, THRESHOLD, LEAST_LLR = 12_000, 4096, 256, 15, 0.3, 15.0
 
 _EDGE = np.zeros(256, bool)
 _EDGE[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
@@ -152,11 +152,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_term
     at = y_all.doc_id.searchsorted(v.doc_id.to_numpy()) if len(v) else np.zeros(0, np.int64)
     order = np.lexsort((v.t.to_numpy(), at))
     d, t, c = at[order].astype(np.int64), v.t.to_numpy()[order].astype(np.int64), v.n.to_numpy()[order]
-    y = y_all.label.to_numpy(float)
+    y, ids = y_all.label.to_numpy(float), y_all.doc_id.to_numpy()
     bare = np.ones(n, bool)
     bare[d] = False
     rest = (y[bare].sum() + p) / (bare.sum() + 1) if n else 0.0
-    return {"vocabulary": vocabulary, "weight": weight, "index": BlockMaxIndex(d, t, unit(d, c, t, weight, n), n, len(vocabulary), BLOCK), "y": y, "id": y_all.doc_id.to_numpy(), "prior": p, "rest": float(rest)}
+    w = unit(d, c, t, weight, n)
+    # examples with the same heaviest term go side by side, so that blocks differ in their bounds; those without vocabulary leave the index
+    heavy = np.full(n, len(vocabulary))
+    by_weight = np.argsort(w, kind="stable")
+    heavy[d[by_weight]] = t[by_weight]
+    kept = np.lexsort((ids, heavy))[: int((~bare).sum())]
+    place = np.zeros(n, np.int64)
+    place[kept] = np.arange(len(kept))
+    return {"vocabulary": vocabulary, "weight": weight, "index": BlockMaxIndex(place[d], t, w, len(kept), len(vocabulary), BLOCK), "y": y[kept], "id": ids[kept], "prior": p, "rest": float(rest)}
 
 
 def likelihood_ratio(a, n, n1: float, total: int) -> np.ndarray:
