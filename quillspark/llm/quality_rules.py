@@ -1,9 +1,9 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted and raw text.
 
 Words and word pairs (lower case) and word shapes are hashed into N_BINS bins. Two
-multinomials are counted: the raw one over every document, the target over at most
-MAX_TRUSTED trusted rows (labels.quality = 1), chosen by a hash of the id; with that bound
-the labels are broadcast and no text is shuffled. A document's score is the mean of log(target/raw) over its
+multinomials are counted: the raw one over every document, the target over every trusted
+one (labels.quality = 1). No text is shuffled for that: a map pass turns each document into
+its packed bins, and those meet the trusted ids by doc_id. A document's score is the mean of log(target/raw) over its
 n-grams. It fails the method where that mean is below THRESHOLD: its n-grams are, on
 average, that much rarer in trusted text than in the raw corpus.
 
@@ -25,7 +25,7 @@ from quillspark.llm import textkernel as tk
 from quillspark.llm.quality_classifier import _CLASS
 from quillspark.llm.shared import one_label, table
 
-MAX_TRUSTED, N_BINS, THRESHOLD, MIN_WORDS, MAX_REPEAT_PERCENT = 20_000, 8192, -0.7, 50, 50
+N_BINS, THRESHOLD, MIN_WORDS, MAX_REPEAT_PERCENT = 8192, -0.7, 50, 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _LEAD = np.ones(256, bool)
@@ -84,30 +84,88 @@ def base_counts(buf: np.ndarray, off: np.ndarray, start, end, doc) -> dict[str,
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": total(_SYMBOL[buf].astype(np.int64)), "n_dup_lines": n_dup, "n_repeat_words": n_repeat}
 
 
+def pack_bins(bins: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
+    """Each document's bins, repeats too, as bytes: rises from bin to bin in order, a byte of 255 for each 255 and the rest."""
+    key = np.sort(of * N_BINS + bins)
+    doc, bin_ = key // N_BINS, key % N_BINS
+    rise = np.diff(bin_, prepend=0)
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    rise[first] = bin_[first]
+    last = np.cumsum(rise // 255 + 1)
+    body = np.full(last[-1] if len(last) else 0, 255, np.uint8)
+    body[last - 1] = rise % 255
+    off = np.concatenate(([0], last))[np.searchsorted(doc, np.arange(n + 1))]
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+
+
+def unpack_bins(bodies: pa.Array) -> np.ndarray:
+    """The bins of all bodies."""
+    if not len(bodies):
+        return np.zeros(0, np.int64)
+    off = np.frombuffer(bodies.buffers()[1], np.int32, len(bodies) + 1, bodies.offset * 4).astype(np.int64)
+    if off[-1] == off[0]:
+        return np.zeros(0, np.int64)
+    body = np.frombuffer(bodies.buffers()[2], np.uint8, off[-1] - off[0], off[0])
+    off -= off[0]
+    sum_ = np.cumsum(body, dtype=np.int64)
+    ends = np.flatnonzero(body != 255)
+    before = np.concatenate(([0], sum_))[off[:-1]]
+    return sum_[ends] - np.repeat(before, np.diff(np.searchsorted(ends, off)))
+
+
+def total(rows: DataFrame) -> np.ndarray:
+    """Sums of n by bin."""
+    out = np.zeros(N_BINS)
+    for r in rows.groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def _rows(counts: np.ndarray) -> list[pa.RecordBatch]:
+    at = np.flatnonzero(counts)
+    return [pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bin", "n"])] if len(at) else []
+
+
 def bin_counts(docs: DataFrame) -> np.ndarray:
     """N-gram counts of all texts by bin."""
 
     def count(batches):
-        total = np.zeros(N_BINS, np.int64)
+        sums = np.zeros(N_BINS, np.int64)
         for b in tk.slices(batches):
             buf, off = tk.pack(b.column("text"))
             start, end, doc = tk.words(buf, off)
             if len(start):
-                total += np.bincount(ngram_bins(buf, start, end, doc)[0], minlength=N_BINS)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bin", "n"])
+                sums += np.bincount(ngram_bins(buf, start, end, doc)[0], minlength=N_BINS)
+        yield from _rows(sums)
 
-    out = np.zeros(N_BINS)
-    for r in docs.select("text").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        out[r["bin"]] = r["n"]
-    return out
+    return total(docs.select("text").mapInArrow(count, "bin int, n long"))
+
+
+def trusted_counts(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """N-gram counts by bin of the documents whose doc_id is in trusted."""
+
+    def packed(batches):
+        for b in tk.slices(batches):
+            buf, off = tk.pack(b.column("text"))
+            start, end, doc = tk.words(buf, off)
+            if len(start):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pack_bins(*ngram_bins(buf, start, end, doc), b.num_rows)], ["doc_id", "bins"])
+
+    def count(batches):
+        sums = np.zeros(N_BINS, np.int64)
+        for b in batches:
+            sums += np.bincount(unpack_bins(b.column("bins")), minlength=N_BINS)
+        yield from _rows(sums)
+
+    bodies = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, "doc_id long, bins binary")
+    # hashed by id at every size, and only the ids' side is held
+    return total(bodies.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select("bins").mapInArrow(count, "bin int, n long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(target / raw) of each bin."""
-    trusted = one_label(labels, "quality").where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(max_trusted)
-    raw, target = bin_counts(docs), bin_counts(docs.join(F.broadcast(trusted), "doc_id", "left_semi"))
+    trusted = one_label(labels, "quality").where("label = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    raw, target = bin_counts(docs), trusted_counts(docs, trusted)
     if not target.sum():
         return np.zeros(N_BINS)
     return np.log((target + 1) / (target.sum() + N_BINS)) - np.log((raw + 1) / (raw.sum() + N_BINS))

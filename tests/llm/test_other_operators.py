@@ -94,6 +94,15 @@ def test_quality_rules(spark):
     assert all(r.kept != r.base_failed for r in quality_rules.apply_rules(df, lab.limit(0)).collect())
 
 
+def test_target_covers_every_trusted_row(spark):
+    df = spark.range(25_000).selectExpr("id as doc_id", "concat('w', id, ' Ab', id % 997, '\\n', repeat('x y ', cast(id % 5 as int))) as text")
+    lab = spark.range(25_000).selectExpr("id as doc_id", "1 as quality")
+    assert abs(quality_rules.fit(df, lab)).max() == 0  # all rows are trusted: target and raw are the same
+    some = lab.where("doc_id % 3 > 0")
+    want = quality_rules.bin_counts(df.where("doc_id % 3 > 0"))
+    assert (quality_rules.trusted_counts(df.repartition(5), some.select("doc_id")) == want).all() and want.sum() > 0
+
+
 def test_quality_classifier(spark):
     rng = random.Random(3)
     rows, labels = [], []
