@@ -155,6 +155,44 @@ def test_licenses(spark):
     assert got[900].license is None and licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def best_window(text, templates):
+    w, top = licenses.normalise(text), (0.0, "")
+    for k, v in templates.items():
+        b = set(licenses.bigrams(v))
+        for i in range(len(w)):
+            for j in range(i + 2, min(len(w), i + 2 * len(b) + 2) + 1):
+                g = set(zip(w[i:j], w[i + 1 : j]))
+                d = 2 * len({f"{x} {y}" for x, y in g} & b) / (len(g) + len(b))
+                top = max(top, (d, k), key=lambda m: m[0])
+    return top
+
+
+def test_license_passages(spark):
+    rng = random.Random(5)
+    wrap = lambda t: "\n".join(" * " + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    said = [("This file is released under the MIT License. See LICENSE.", "MIT")]
+    said += [(f"Foo bar\n{wrap(t)}\n\nint main of the thing", k) for k, t in licenses.BODIES.items()]
+    said += [(f"All rights reserved\n{wrap(licenses.BODIES['MIT-text'])}", "MIT-text")]
+    said += [("Before it. " + " ".join(t.split()) + " After it.", k) for k, t in licenses.BODIES.items()]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)] + [(500, None), (501, ""), (502, "word"), (503, "the license of the software is of any kind " * 30)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df, bodies=licenses.BODIES).collect()}
+    assert [(got[i].license, got[i].dice) for i in range(len(said))] == [(k, 1.0) for _, k in said]
+    assert all((got[i].license, got[i].dice, got[i].n_lines) == (None, 0.0, 0) for i in range(500, 504))
+    few = {k: licenses.TEMPLATES[k] for k in ("MIT", "Proprietary", "ISC", "MIT-notice")}
+    texts = []
+    for _ in range(60):
+        w = " ".join([rng.choice(list(few.values())), "all the rights", rng.choice(list(few.values()))]).split()
+        for _ in range(rng.randint(0, 5)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(["the", "license", "x\n", "\n"]))
+            w.pop(rng.randrange(len(w)))
+        texts.append(" ".join(w))
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), few, bodies={}).collect()
+    for r in rows:
+        line = max(dice(x, v) for x in texts[r.doc_id].split("\n") for v in few.values())
+        top = line if line >= 0.8 else best_window(texts[r.doc_id], few)[0]
+        assert r.dice == pytest.approx(top if top >= 0.8 else 0.0), texts[r.doc_id]
+
+
 PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1><nav><ul><li><a href=/>Home</a></ul></nav></header>
 <div class="cookie-notice">We use cookies</div><aside><p>Elsewhere on this site there is a long teaser of many words to read</p></aside><MAIN><article><header><h1>The &lt;title&gt; &amp; more</h1><p class="byline">By X</p></header>
 <p>First   para&nbsp;graph
