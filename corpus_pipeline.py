@@ -48,9 +48,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of each document of the mix."""
-    encoded = encode_documents(docs.select("doc_id", "text", "lang", "source"), None, keep=("lang", "source"))
-    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang, source, n_tokens and ids of each document of the mix, and round_trip: whether the ids decode to its text."""
+    encoded = encode_documents(docs.select("doc_id", "text", "lang", "source"), None, keep=("lang", "source"), verify=True)
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("repeats", repeats), ("mixture", mixture), ("tokens", tokens)]

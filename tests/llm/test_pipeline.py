@@ -69,3 +69,10 @@ def test_stages_against_brute_force(spark, folder):
     sp = sentencepiece_codec.codec(sentencepiece_codec.default_model()).sp
     assert len(out) == len(got) and all(list(r.ids) == sp.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in out)
     assert rows(cp.run(spark, folder).select("doc_id", "n_tokens")) == sorted(((r.doc_id, r.n_tokens) for r in out), key=str)
+
+
+def test_tokens_are_decoded(spark):
+    texts = ["a b c", "two words\n", "  é  tab\t.", "", "x " * 300]
+    out = cp.tokens(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    sp = sentencepiece_codec.codec(sentencepiece_codec.default_model()).sp
+    assert {r.doc_id: r.round_trip for r in out} == {i: sp.decode(sp.encode(t)) == t for i, t in enumerate(texts)}
