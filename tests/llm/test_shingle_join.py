@@ -88,3 +88,49 @@ def test_null_ids_repeated_rows_and_other_columns(spark):
     got = sorted((((r.doc_id is None, r.doc_id or 0), r.component_id) for r in sj.near_duplicates(df).collect()), key=str)
     assert got == [((False, 2), 2), ((False, 4), 4), ((False, 4), 4), ((False, 7), 7), ((True, 0), 4), ((True, 0), None)]
     assert sj.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_large_group_of_near_copies_and_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr("quillspark.llm.exchange.BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(sj, "TILE", 16)
+    monkeypatch.setattr(sj, "PAIR_ROWS", 300)
+    monkeypatch.setattr(sj, "BODY_ROWS", 100)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    docs = []
+    for i in range(250):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 5)):
+            w[at] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    long = [f"v{rng.randrange(90_000)}" for _ in range(60_000)]
+    other = [f"z{i}" if i % 100 == 0 else x for i, x in enumerate(long)]
+    far = [f"z{i}" if i % 10 == 0 else x for i, x in enumerate(long)]
+    docs += [(300, " ".join(long)), (301, " ".join(other)), (302, " ".join(far))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in sj.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()) == brute(docs)
+
+
+def test_parity_maps_never_differ_in_more_bits_than_the_sets():
+    import numpy as np
+
+    from quillspark.llm.textkernel import salted
+
+    rng, universe = random.Random(5), list(salted(7, 3000))
+    sets = []
+    for _ in range(60):
+        x = rng.sample(universe, rng.randint(1, 600))
+        sets += [np.unique(x), np.unique(x[rng.randint(0, 5) :] + rng.sample(universe, rng.randint(0, 20)))]
+    maps = sj.Maps([sj.parity_map(s) for s in sets])
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y)])
+    assert (maps.differ(x, y) <= apart).all()
+
+
+def test_firsts_and_what_stays(spark):
+    a, b = "one two three four five six seven", "un deux trois quatre cinq six sept"
+    rows = [(9, a, "p"), (3, a, "q"), (3, b, "r"), (None, a, "s"), (None, a, "t"), (None, b + " huit neuf dix", "u"), (5, "", "v"), (6, None, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = sorted((r.row for r in sj.without_copies(df, "row").collect()))
+    assert [k for k in kept if k not in "st"] == ["q", "r", "u", "v", "w"] and sum(k in "st" for k in kept) == 1
+    assert {r.row: r.text for r in sj.without_copies(df, "row").collect() if r.row in "vw"} == {"v": "", "w": None}
