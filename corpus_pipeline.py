@@ -7,14 +7,14 @@ compare them with brute force.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.mixing import mix_sources
 from quillspark.llm.quality_classifier import score_quality
 from quillspark.llm.sentencepiece_codec import encode_documents
 from quillspark.llm.shared import WORD, table, written
-from quillspark.llm.shingle_join import near_duplicates
+from quillspark.llm.shingle_join import without_copies
 from quillspark.llm.suffix_dedup import GRAM, LENGTH, find_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,11 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies; of rows that repeat a doc_id, one. Rows without doc_id stay."""
-    later = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
-    left = docs.join(later, "doc_id", "left_anti").withColumn("_one", one)
-    return left.where("_one = 1 or doc_id is null").select(*COLUMNS)
+    """The first document of each group of near copies, and of its rows without doc_id one. Rows that repeat a doc_id are judged each."""
+    return without_copies(docs, *COLUMNS[2:]).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
