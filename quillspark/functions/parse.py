@@ -8,7 +8,7 @@ required field, a wrong type or an unknown code fails the candidate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import schemas as S
@@ -57,21 +57,40 @@ def _list_valid(v: Column, name: str, rules: list) -> Column:
     return kind.isNull() | F.coalesce(kind.rlike("^ARRAY") & F.forall(items, good), F.lit(False))
 
 
-def is_record(text: Column) -> Column:
-    """Whether a text is a valid record."""
-    v = F.try_parse_json(text)
+def _valid(v: Column) -> Column:
     out = F.coalesce(F.schema_of_variant(v).rlike("^OBJECT"), F.lit(False))
     for name, rules in _rules().items():
         out = out & _list_valid(v, name, rules)
     return out
 
 
+def is_record(text: Column) -> Column:
+    """Whether a text is a valid record."""
+    return F.get(F.transform(F.array(F.try_parse_json(text)), _valid), F.lit(0))
+
+
+def valid_text(text: Column) -> Column:
+    """The first valid of the raw text, and it without its fence, its reasoning, and both; null if none is. Each different one is parsed once."""
+    tries = F.array_distinct(F.array(text, strip_fence(text), strip_reasoning(text), strip_fence(strip_reasoning(text))))
+    read = F.transform(tries, lambda t: F.struct(t.alias("text"), F.try_parse_json(t).alias("v")))
+    return F.get(F.filter(read, lambda x: _valid(x["v"])), F.lit(0))["text"]
+
+
+def _record(good: Column) -> Column:
+    return with_defaults(F.from_json(F.coalesce(good, F.lit("{}")), S.RECORD))
+
+
 def parse_record(text: Column) -> Column:
-    """struct(record, parsed): the first valid of the raw text, and it without its fence, its reasoning, and both."""
-    tries = [text, strip_fence(text), strip_reasoning(text), strip_fence(strip_reasoning(text))]
-    good = F.coalesce(*[F.when(is_record(t), t) for t in tries])
-    record = with_defaults(F.from_json(F.coalesce(good, F.lit("{}")), S.RECORD))
-    return F.struct(record.alias("record"), good.isNotNull().alias("parsed"))
+    """struct(record, parsed): the record that valid_text finds, an empty one if there is none."""
+    good = valid_text(text)
+    return F.struct(_record(good).alias("record"), good.isNotNull().alias("parsed"))
+
+
+def parsed_records(rows: DataFrame, text: str) -> DataFrame:
+    """rows with record and parsed, as parse_record gives them. The steps are generators, so that no later column repeats them."""
+    found = rows.select("*", F.explode(F.array(valid_text(F.col(text)))).alias("_good"))
+    found = found.select("*", F.explode(F.array(_record(F.col("_good")))).alias("record"))
+    return found.withColumn("parsed", F.col("_good").isNotNull()).drop("_good")
 
 
 def with_defaults(r: Column) -> Column:

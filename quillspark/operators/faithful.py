@@ -1,74 +1,91 @@
 """Faithfulness: which labelled facts a note doesn't support, and which facts it has that no label has.
 
-Notes stay in their own table: the exploded facts carry normalised terms only and meet the
-note again by row id. Cheap steps (the term itself, abbreviations, numbers) are decided in
-the JVM; only what they leave open goes to the fuzzy function.
+A row's facts are few, so they are gathered to a list and meet their note once; the note is
+normalised once and goes to a function once, however many facts it has. Cheap steps (the term
+itself, abbreviations, numbers) are decided in the JVM; only what they leave open goes to the
+fuzzy functions. Nothing else is shuffled.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import schemas as S
-from quillspark.functions.fuzzy import fuzzily_anchored_udf, partial_ratio_udf
-from quillspark.functions.text import anchored_plainly, normalise, number_anchored, strip
+from quillspark.functions.fuzzy import all_anchored_udf, resemble_udf
+from quillspark.functions.text import anchored_plainly, normalise, number_anchored, printf_tenth, strip
 
 _KIND = {"conditions": "Condition", "medications": "Medication", "allergies": "Allergy", "vitals": "Vital", "procedures": "Procedure"}
 
 
+def _met(notes: DataFrame, facts: DataFrame, row: str, note: str, how: str = "left") -> DataFrame:
+    """notes with their normal form, the row's facts with their normal terms (an empty list where there are none), and whether each is anchored."""
+    fields = [c for c in facts.columns if c != row]
+    lists = facts.select(row, F.struct(*fields, strip(normalise(F.col("text"))).alias("_term")).alias("_fact")).groupBy(row).agg(F.collect_list("_fact").alias("_facts"))
+    rows = notes.withColumn("_note", F.col(note)).withColumn("_norm", normalise(F.col(note))).join(lists, row, how)
+    rows = rows.withColumn("_facts", F.coalesce("_facts", F.array().cast(lists.schema["_facts"].dataType)))
+    vital = lambda f: f["resource"] == "vitals"
+    plain = F.transform("_facts", lambda f: F.coalesce(F.when(vital(f), number_anchored(f["value"], F.col("_note"))).otherwise(anchored_plainly(f["_term"], F.col("_norm"))), F.lit(False)))
+    rows = rows.withColumn("_plain", plain)
+    # what is decided already goes to the function as an empty term, which costs it nothing
+    rows = rows.withColumn("_open", F.zip_with("_facts", "_plain", lambda f, p: F.when(p | vital(f), "").otherwise(f["_term"])))
+    fuzzy = all_anchored_udf("_open", F.when(F.exists("_open", lambda t: t != ""), F.col("_norm")))
+    return rows.withColumn("_anchored", F.zip_with("_plain", fuzzy, lambda p, q: p | q))
+
+
 def anchors(facts: DataFrame, notes: DataFrame, row: str, note: str = "note") -> DataFrame:
     """facts(row, resource, pos, text, value) with `anchored`: whether the row's note supports each."""
-    known = notes.select(row, F.col(note).alias("_note"), normalise(F.col(note)).alias("_norm"))
-    wide = facts.withColumn("_term", strip(normalise(F.col("text")))).join(known, row)
-    vital = F.col("resource") == "vitals"
-    plain = F.when(vital, number_anchored(F.col("value"), F.col("_note"))).otherwise(anchored_plainly(F.col("_term"), F.col("_norm")))
-    wide = wide.withColumn("_plain", F.coalesce(plain, F.lit(False)))
-    # what is decided already goes to the function as an empty term, which costs it nothing
-    open_ = F.when(~F.col("_plain") & ~vital, F.col("_term")).otherwise("")
-    wide = wide.withColumn("_fuzzy", fuzzily_anchored_udf(open_, F.when(open_ != "", F.col("_norm")).otherwise("")))
-    return wide.withColumn("anchored", F.col("_plain") | F.col("_fuzzy")).drop("_note", "_norm", "_term", "_plain", "_fuzzy")
+    fields = [c for c in facts.columns if c != row]
+    met = _met(notes.select(row, note), facts, row, note, "inner")
+    return met.select(row, F.inline(F.zip_with("_facts", "_anchored", lambda f, a: F.struct(*[f[c].alias(c) for c in fields], a.alias("anchored")))))
+
+
+def _missing() -> Column:
+    names = F.create_map(*[F.lit(x) for kv in _KIND.items() for x in kv])
+    order = F.array(*map(F.lit, S.RESOURCES))
+
+    def told(f):
+        text = F.when(f["resource"] == "vitals", F.concat_ws("=", f["text"], f["value"].cast("string"))).otherwise(f["text"])
+        return F.struct(F.array_position(order, f["resource"]).alias("rank"), f["pos"].alias("pos"), F.concat(names[f["resource"]], F.lit(": "), text).alias("told"))
+
+    lost = F.filter(F.zip_with("_facts", "_anchored", lambda f, a: F.when(~a, told(f))), lambda x: x.isNotNull())
+    return F.transform(F.array_sort(lost), lambda x: x["told"])
 
 
 def unanchored(facts: DataFrame, notes: DataFrame, row: str, note: str = "note") -> DataFrame:
     """row, missing: messages on each row's unsupported facts, by resource and position; an empty list where there are none."""
-    names = F.create_map(*[F.lit(x) for kv in _KIND.items() for x in kv])
-    rank = F.array_position(F.array(*map(F.lit, S.RESOURCES)), F.col("resource"))
-    told = F.concat(names[F.col("resource")], F.lit(": "), F.when(F.col("resource") == "vitals", F.concat_ws("=", "text", F.col("value").cast("string"))).otherwise(F.col("text")))
-    missing = anchors(facts, notes, row, note).where("not anchored").groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "pos", told.alias("told")))), lambda s: s["told"]).alias("missing"))
-    return notes.select(row).join(missing, row, "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+    return _met(notes.select(row, note), facts, row, note).select(row, _missing().alias("missing"))
 
 
 def drugs_in(note_norm: Column) -> Column:
     """The known drugs that a normalised note names as whole words, in the dictionary's order."""
-    every = r"\b(?:" + "|".join(map(re.escape, sorted(S.DRUGS, key=len, reverse=True))) + r")\b"
-    # one scan rules out most notes; only the others are asked for each drug
-    each = F.filter(F.array(*map(F.lit, S.DRUGS)), lambda d: F.rlike(note_norm, F.concat(F.lit(r"\b"), d, F.lit(r"\b"))))
-    return F.when(note_norm.rlike(every), each).otherwise(F.array().cast("array<string>"))
+    longer = F.filter(F.array(*[F.lit(d) for d in S.DRUGS if " " in d]), lambda d: F.concat(F.lit(" "), note_norm, F.lit(" ")).contains(F.concat(F.lit(" "), d, F.lit(" "))))
+    return F.array_intersect(F.array(*map(F.lit, S.DRUGS)), F.concat(F.split(note_norm, " "), longer))
+
+
+def _invented(met: DataFrame) -> DataFrame:
+    """met with `invented`."""
+    no_text = F.array().cast("array<string>")
+    labels = F.filter(F.transform(F.filter("_facts", lambda f: f["resource"] == "medications"), lambda f: f["_term"]), lambda t: t.isNotNull())
+    met = met.withColumn("_labels", labels).withColumn("_drugs", F.coalesce(drugs_in(F.col("_norm")), no_text))
+    met = met.withColumn("_drugs", F.filter("_drugs", lambda d: ~F.exists("_labels", lambda t: t.contains(d))))
+    like = resemble_udf("_drugs", "_labels")
+    drugs = F.filter(F.zip_with("_drugs", like, lambda d, x: F.when(~x, F.concat(F.lit("Medication (invented): "), d))), lambda x: x.isNotNull())
+    values = F.transform(F.filter("_facts", lambda f: (f["resource"] == "vitals") & f["value"].isNotNull()), lambda f: printf_tenth(f["value"]).cast("double"))
+    met = met.withColumn("_values", values)
+    pressures = F.transform(F.regexp_extract_all("_note", F.lit(S.BP_PATTERN), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, S.BP_PATTERN, 1).alias("s"), F.regexp_extract(m, S.BP_PATTERN, 2).alias("d")))
+    new = F.filter(pressures, lambda p: ~F.array_contains("_values", p["s"].cast("double")) & ~F.array_contains("_values", p["d"].cast("double")))
+    told = F.transform(new, lambda p: F.concat(F.lit("Vital (invented): BP "), p["s"], F.lit("/"), p["d"]))
+    return met.withColumn("invented", F.concat(drugs, F.coalesce(told, no_text)))
 
 
 def invented(notes: DataFrame, facts: DataFrame, row: str, note: str = "note") -> DataFrame:
     """row, invented: drugs that the note names and no labelled medication resembles, then blood pressures no labelled value has."""
-    found = notes.select(row, F.posexplode(drugs_in(normalise(F.col(note)))).alias("pos", "drug"))
-    medicines = facts.where("resource = 'medications'").select(row, strip(normalise(F.col("text"))).alias("_label"))
-    tried = found.join(medicines, row, "left").withColumn("_plain", F.coalesce(F.contains("_label", "drug"), F.lit(False)))
-    score = partial_ratio_udf(F.when(~F.col("_plain"), F.col("drug")), F.when(~F.col("_plain"), F.col("_label")))
-    tried = tried.withColumn("_like", F.col("_plain") | (F.coalesce(score, F.lit(0.0)) >= S.FUZZY_ANCHOR))
-    drugs = tried.groupBy(row, "pos", "drug").agg(F.max("_like").alias("like")).where("not like").select(row, F.lit(0).alias("rank"), "pos", F.concat(F.lit("Medication (invented): "), "drug").alias("told"))
-    pressure = notes.select(row, F.posexplode(F.arrays_zip(*[F.regexp_extract_all(note, F.lit(S.BP_PATTERN), F.lit(i)).alias(n) for i, n in ((1, "s"), (2, "d"))])).alias("pos", "bp"))
-    values = facts.where("resource = 'vitals'").groupBy(row).agg(F.collect_set(F.bround(F.col("value").cast("decimal(38,18)"), 1).cast("double")).alias("_values"))
-    none = F.array().cast("array<double>")
-    known = pressure.join(values, row, "left").withColumn("_values", F.coalesce("_values", none))
-    known = known.where(~F.array_contains("_values", F.col("bp.s").cast("double")) & ~F.array_contains("_values", F.col("bp.d").cast("double")))
-    pressures = known.select(row, F.lit(1).alias("rank"), "pos", F.concat(F.lit("Vital (invented): BP "), F.col("bp.s"), F.lit("/"), F.col("bp.d")).alias("told"))
-    lists = drugs.unionByName(pressures).groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pos", "told"))), lambda s: s["told"]).alias("invented"))
-    return notes.select(row).join(lists, row, "left").withColumn("invented", F.coalesce("invented", F.array().cast("array<string>")))
+    return _invented(_met(notes.select(row, note), facts, row, note)).select(row, "invented")
 
 
 def checked(notes: DataFrame, facts: DataFrame, row: str, note: str = "note") -> DataFrame:
-    """notes with missing, invented, faithful and clean."""
-    out = notes.join(unanchored(facts, notes, row, note), row).join(invented(notes, facts, row, note), row)
+    """notes with missing, invented, faithful and clean: one join and one pass."""
+    out = _invented(_met(notes, facts, row, note)).select(*notes.columns, _missing().alias("missing"), "invented")
     faithful = F.size("missing") == 0
     return out.withColumn("faithful", faithful).withColumn("clean", faithful & (F.size("invented") == 0))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import schemas as S
 from quillspark.operators.sampling import pick
+from quillspark.sources.files import exists
 
 NOTE_PROMPT = """Write the clinical note of an encounter on {date} with a {age}-year-old {sex} patient.
 
@@ -65,6 +68,17 @@ def note_prompts(encounters: DataFrame, seed: int, record: str = "record", templ
     return out.withColumn("prompt", fill(template, **values, **{k: F.col(f"variant.{k}") for k in ("doc_type", "style", "noise")}))
 
 
+def exemplars(spark: SparkSession, path: str, shots: int) -> list[tuple[str, str]]:
+    """(note, label JSON) of the first `shots` rows of a pair file, for extraction_prompt; none are asked for, none are read."""
+    if shots <= 0:
+        return []
+    if not exists(spark, path):
+        raise FileNotFoundError(f"{shots} exemplars were asked for, but there is no {path}; without exemplars it isn't needed")
+    lines = spark.read.text(path, wholetext=False).limit(shots).collect()
+    found = [json.loads(r["value"]) for r in lines]
+    return [(x["note"], json.dumps(x["label"])) for x in found]
+
+
 def extraction_prompt(note: Column, with_schema: bool | Column = True, exemplars: list[tuple[str, str]] = (), template: str = EXTRACT_PROMPT) -> Column:
     """The extraction prompt: exemplars (note, label JSON) first, the schema if asked for."""
     rule = F.lit(f"The JSON must validate against this schema:\n{S.RECORD_DDL}\n")

@@ -24,21 +24,23 @@ def rows_by_resource(rows: DataFrame, record: str = "label") -> DataFrame:
     return rows.agg(*[F.count_if(F.size(f"{record}.{r}") > 0).alias(r) for r in S.RESOURCES])
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """A text's n-grams of lower-cased words, n = 2 or 3; none where it has fewer words."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    at = lambda k: F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
-    grams = at(0)
-    for k in range(1, n):
-        grams = F.zip_with(grams, at(k), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+def ngrams(words: str, n: int) -> Column:
+    """(n, p, q) of each n words that follow each other in a column of word lists: 128 bits that stand for them."""
+    own = lambda i: [F.get(words, i + k) for k in range(n)]
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.transform(starts, lambda _, i: F.struct(F.lit(n).alias("n"), F.xxhash64(*own(i)).alias("p"), F.xxhash64(F.lit(n), *own(i)[::-1]).alias("q")))
 
 
-def distinct_n(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """n, distinct_ratio: different n-grams over all n-grams of the corpus, exactly. Counted within each task before the shuffle."""
-    grams = docs.select(F.explode(ngrams(F.col(text), n)).alias("gram"))
-    by_gram = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
-    return by_gram.agg(F.lit(n).alias("n"), F.coalesce(F.count(F.lit(1)) / F.nullif(F.sum("c"), F.lit(0)), F.lit(0.0)).alias("distinct_ratio"))
+def distinct_n(docs: DataFrame, text: str, *sizes: int) -> DataFrame:
+    """n, distinct_ratio for each size: different n-grams of lower-cased words over all n-grams of the corpus.
+
+    One scan for all sizes. N-grams are shuffled as 128-bit hashes, counted within each task before.
+    """
+    words = docs.select(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "").alias("words")).where("words is not null")
+    grams = words.select(F.inline(F.concat(*[ngrams("words", n) for n in sizes])))
+    by_n = grams.groupBy("n", "p", "q").agg(F.count(F.lit(1)).alias("c")).groupBy("n").agg((F.count(F.lit(1)) / F.sum("c")).alias("found"))
+    every = docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sizes))).alias("n"))
+    return every.join(by_n, "n", "left").select("n", F.coalesce("found", F.lit(0.0)).alias("distinct_ratio"))
 
 
 def nearest_rank(values: DataFrame, group: str, value: str, *shares: float) -> DataFrame:
@@ -66,6 +68,11 @@ def coverage(keys: DataFrame, key: str = "key") -> DataFrame:
     return hits.select(F.inline(F.array(*[F.struct(F.lit(r).alias("resource"), F.col(r).alias("n_hits")) for r in S.CATEGORY_WORDS])))
 
 
+def coverage_decision(covered: DataFrame, least: int = 3) -> DataFrame:
+    """n_covered, enough: how many resources some key stands for, and whether they are enough to map the corpus."""
+    return covered.agg(F.count_if(F.col("n_hits") > 0).alias("n_covered")).withColumn("enough", F.col("n_covered") >= least)
+
+
 def pivot_systems(answers: DataFrame, row: str, system: str, value: str, systems: tuple[str, ...]) -> DataFrame:
     """One row per input with each system's answer beside the other's."""
     return answers.groupBy(row).pivot(system, list(systems)).agg(F.first(value))

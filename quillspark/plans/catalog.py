@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark import schemas as S
 from quillspark.functions import fuzzy, parse, text
-from quillspark.operators import bundles, external, faithful, passes, prompts, report, sampling, scoring, splits, stats
+from quillspark.operators import bundles, external, faithful, passes, prompts, report, sampling, scoring, similar, splits, stats
 from quillspark.sources import completer, files
 
 QUERIES: dict = {}
@@ -78,12 +78,15 @@ def exact_multiset_match(spark, sf_dir):
 
 @query(
     f"""WITH {_COUNTS},
-rows AS (SELECT row_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(fp) AS hallucinated, (sum(fp) = 0) AS valid FROM counts GROUP BY row_id)
-SELECT count(*) AS n, round(CAST(2.0 * sum(tp) / (2.0 * sum(tp) + sum(fp) + sum(fn)) AS DOUBLE), 4) AS micro_f1, round(avg(CAST(valid AS INT)), 4) AS schema_validity, round(avg(hallucinated), 4) AS hallucination_rate, round(avg(fn), 4) AS omission_rate FROM rows"""
+rows AS (SELECT row_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(fp) AS hallucinated, (sum(fp) = 0) AS valid FROM counts GROUP BY row_id),
+each AS (SELECT resource, CASE WHEN sum(tp) = 0 THEN 0.0::DOUBLE ELSE CAST(2.0 * sum(tp) / (2.0 * sum(tp) + sum(fp) + sum(fn)) AS DOUBLE) END AS f1, sum(tp + fp + fn) AS n FROM counts GROUP BY resource)
+SELECT count(*) AS n, round(CAST(2.0 * sum(tp) / (2.0 * sum(tp) + sum(fp) + sum(fn)) AS DOUBLE), 4) AS micro_f1, (SELECT round(avg(f1) FILTER (n > 0), 4) FROM each) AS macro_f1,
+  (SELECT string_agg(resource || '=' || printf('%.4f', round(f1, 4)), ' ' ORDER BY resource) FROM each) AS per_resource, round(avg(CAST(valid AS INT)), 4) AS schema_validity, round(avg(hallucinated), 4) AS hallucination_rate, round(avg(fn), 4) AS omission_rate FROM rows"""
 )
 def corpus_aggregate(spark, sf_dir):
     rows = scoring.row_scores(_counts(spark, sf_dir), "row_id").withColumn("hallucinated", F.col("fp")).withColumn("schema_valid", F.col("fp") == 0)
-    return scoring.aggregate(rows).select("n", "micro_f1", "schema_validity", "hallucination_rate", "omission_rate")
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("per_resource")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"]))), " ")
+    return scoring.aggregate(rows).select("n", "micro_f1", "macro_f1", told.alias("per_resource"), "schema_validity", "hallucination_rate", "omission_rate")
 
 
 @query(
@@ -265,6 +268,18 @@ def number_anchors(spark, sf_dir):
     return _notes(spark, sf_dir).select("l_orderkey", "l_linenumber", text.number_anchored(F.col("l_quantity"), F.col("note")).alias("anchored"))
 
 
+_MEASURE = "CASE l_linenumber % 3 WHEN 0 THEN l_quantity + l_discount WHEN 1 THEN -(l_extendedprice / 100) ELSE l_quantity / 2 + l_tax END"
+
+
+@query(f"""WITH m AS (SELECT l_orderkey, l_linenumber, CAST({_MEASURE} AS DOUBLE) AS v FROM lineitem), t AS (SELECT *, printf('%.0f', v) AS whole, printf('%.1f', v) AS tenth FROM m)
+SELECT l_orderkey, l_linenumber, v, whole, tenth, true AS anchored FROM t""")
+def number_rounding(spark, sf_dir):
+    """Numbers with and without fractions as text, and whether a note that tells the one with a tenth anchors them."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_MEASURE).cast("double").alias("v"))
+    tenth = text.printf_tenth(F.col("v"))
+    return rows.select("*", text.printf_whole(F.col("v")).alias("whole"), tenth.alias("tenth"), text.number_anchored(F.abs("v"), F.concat(F.lit("was "), text.printf_tenth(F.abs("v")), F.lit(" today"))).alias("anchored"))
+
+
 _LIST = "CASE p_partkey % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN concat(' ', p_name, ' ;; ', p_brand, ';') WHEN 2 THEN concat(p_type, '; n/a') WHEN 3 THEN ' None ' ELSE p_name END"
 
 
@@ -281,8 +296,7 @@ def _sql_distinct(n: int) -> str:
 
 @query(f"WITH words AS (SELECT list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents) {_sql_distinct(2)} UNION ALL {_sql_distinct(3)}")
 def distinct_ngrams(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("text")
-    return stats.distinct_n(docs, "text", 2).unionByName(stats.distinct_n(docs, "text", 3))
+    return stats.distinct_n(table(spark, sf_dir, "documents").select("text"), "text", 2, 3)
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
@@ -311,6 +325,11 @@ def category_coverage(spark, sf_dir):
     return stats.coverage(table(spark, sf_dir, "part").select(F.expr(_NAMED).alias("key")).distinct())
 
 
+@query("WITH k AS (SELECT DISTINCT lower(" + _NAMED + ") AS key FROM part), h AS (" + " UNION ALL ".join(f"SELECT count(*) FILTER (regexp_matches(key, '{'|'.join(w)}')) AS n_hits FROM k" for w in S.CATEGORY_WORDS.values()) + ") SELECT count(*) FILTER (n_hits > 0) AS n_covered, count(*) FILTER (n_hits > 0) >= 3 AS enough FROM h")
+def coverage_decision(spark, sf_dir):
+    return stats.coverage_decision(stats.coverage(table(spark, sf_dir, "part").select(F.expr(_NAMED).alias("key")).distinct()))
+
+
 @query(f"""WITH {_FACTS}, {_PRED},
 rows AS (SELECT row_id, count(*) AS n FROM facts GROUP BY row_id), lost AS (SELECT row_id, count(*) AS n FROM drawn WHERE d >= 'd' GROUP BY row_id), made AS (SELECT row_id, count(*) AS n FROM drawn WHERE d = '0' GROUP BY row_id),
 c AS (SELECT row_id, coalesce(l.n, 0) AS m, coalesce(a.n, 0) AS i FROM rows r LEFT JOIN lost l USING (row_id) LEFT JOIN made a USING (row_id))
@@ -330,15 +349,27 @@ def resource_rows(spark, sf_dir):
     """WITH RECURSIVE names AS (SELECT DISTINCT array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS s, p_name FROM part), pairs AS (SELECT a.p_name AS a, b.p_name AS b, a.s AS x, b.s AS y FROM names a JOIN names b ON a.p_name < b.p_name),
 lcs AS (SELECT a, b, x, y, 0 AS i, list_transform(range(0, len(y) + 1), lambda k: 0) AS row FROM pairs
   UNION ALL SELECT a, b, x, y, i + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda j: [CASE WHEN x[i + 1] = y[j] THEN row[j] + 1 ELSE row[j + 1] END]), lambda acc, e: list_append(acc, greatest(acc[len(acc)], e[1])), [0]) FROM lcs WHERE i < len(x))
-SELECT a, b, round(200.0 * row[len(row)] / (len(x) + len(y)), 6)::DOUBLE AS similarity FROM lcs WHERE i = len(x)"""
+SELECT a, b, round(200.0 * row[len(row)] / (len(x) + len(y)), 6)::DOUBLE AS similarity FROM lcs WHERE i = len(x) AND 200.0 * row[len(row)] >= 70 * (len(x) + len(y))"""
 )
 def token_sort_similarity(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = names.alias("l").join(names.alias("r"), F.col("l.p_name") < F.col("r.p_name")).select(F.col("l.p_name").alias("a"), F.col("r.p_name").alias("b"))
-    return pairs.select("a", "b", F.round(fuzzy.token_sort_ratio_udf("a", "b"), 6).alias("similarity"))
+    return similar.similar_terms(table(spark, sf_dir, "part"), "p_name", 70).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_FACTS},
+golds AS (SELECT row_id, resource, text AS key, row_number() OVER (PARTITION BY row_id, resource ORDER BY pos, text) AS j FROM facts),
+said AS (SELECT row_id, resource, pos, CASE WHEN pos % 2 = 0 THEN 'the ' || text ELSE reverse(text) END AS key FROM facts),
+preds AS (SELECT row_id, resource, key, row_number() OVER (PARTITION BY row_id, resource ORDER BY pos, key) AS i FROM said),
+pairs AS (SELECT DISTINCT p.key AS a, g.key AS b, array_to_string(list_sort(string_split(p.key, ' ')), ' ') AS x, array_to_string(list_sort(string_split(g.key, ' ')), ' ') AS y FROM preds p JOIN golds g USING (row_id, resource) WHERE resource <> 'vitals'),
+lcs AS (SELECT a, b, x, y, 0 AS i, list_transform(range(0, len(y) + 1), lambda k: 0) AS row FROM pairs
+  UNION ALL SELECT a, b, x, y, i + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda j: [CASE WHEN x[i + 1] = y[j] THEN row[j] + 1 ELSE row[j + 1] END]), lambda acc, e: list_append(acc, greatest(acc[len(acc)], e[1])), [0]) FROM lcs WHERE i < len(x)),
+sim AS (SELECT a, b, 200.0 * row[len(row)] / (len(x) + len(y)) AS s FROM lcs WHERE i = len(x)),
+grid AS (SELECT p.row_id, p.resource, p.i, list(CASE WHEN p.key = g.key THEN 100.0 WHEN s >= 88 THEN s ELSE -1.0 END ORDER BY g.j) AS m FROM preds p JOIN golds g ON p.row_id = g.row_id AND p.resource = g.resource LEFT JOIN sim ON p.resource <> 'vitals' AND a = p.key AND b = g.key GROUP BY ALL),
+walk AS (SELECT row_id, resource, CAST(0 AS BIGINT) AS i, list_transform(list(j), lambda k: false) AS used, CAST(0 AS BIGINT) AS tp, count(*) AS n FROM golds GROUP BY ALL
+  UNION ALL SELECT w.row_id, w.resource, w.i + 1, list_transform(used, lambda u, k: u OR (best >= 88 AND k = list_position(left_, best))), tp + CAST(best >= 88 AS INT), n
+  FROM (SELECT w.*, list_transform(m, lambda v, k: CASE WHEN used[k] THEN -1.0 ELSE v END) AS left_, list_max(list_transform(m, lambda v, k: CASE WHEN used[k] THEN -1.0 ELSE v END)) AS best FROM walk w JOIN grid g ON w.row_id = g.row_id AND w.resource = g.resource AND g.i = w.i + 1) w)
+SELECT row_id, resource, tp, n - tp AS fp, n - tp AS fn FROM walk WHERE i = n"""
+)
 def fuzzy_match(spark, sf_dir):
     gold = facts(spark, sf_dir).withColumnRenamed("text", "key")
     pred = gold.withColumn("key", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("the "), "key")).otherwise(F.reverse("key")))
@@ -385,9 +416,9 @@ ELSE concat('not json ', p_name) END"""
 
 @query(f"SELECT p_partkey, p_partkey % 7 < 3 AS parsed, CAST(p_partkey % 7 = 0 AS INT) AS n_conditions, CAST(p_partkey % 7 = 1 AS INT) AS n_medications, CASE WHEN p_partkey % 7 = 2 THEN CAST(p_size AS DOUBLE) END AS value, CASE WHEN p_partkey % 7 = 2 THEN 'Heart rate' END AS display FROM (SELECT *, {_REPLY} AS reply FROM part)")
 def parse_replies(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", parse.parse_record(F.expr(_REPLY.replace("chr(10)", "char(10)"))).alias("r"))
-    first = F.get("r.record.vitals", F.lit(0))
-    return rows.select("p_partkey", "r.parsed", F.size("r.record.conditions").alias("n_conditions"), F.size("r.record.medications").alias("n_medications"), first["value"].alias("value"), first["display"].alias("display"))
+    rows = parse.parsed_records(table(spark, sf_dir, "part").select("p_partkey", F.expr(_REPLY.replace("chr(10)", "char(10)")).alias("reply")), "reply")
+    first = F.get("record.vitals", F.lit(0))
+    return rows.select("p_partkey", "parsed", F.size("record.conditions").alias("n_conditions"), F.size("record.medications").alias("n_medications"), first["value"].alias("value"), first["display"].alias("display"))
 
 
 @query("SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
@@ -396,14 +427,31 @@ def chat_messages(spark, sf_dir):
     return chats.select("conv_id", F.size("messages").cast("long").alias("n"), F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n").alias("chat"))
 
 
-@query(f"""WITH {_FACTS}, codes AS (SELECT *, {list(S.DISPLAYS.values())!r}[pos % 8 + 1] AS display FROM facts),
-lines AS (SELECT row_id, pos, value, CASE WHEN resource <> 'vitals' THEN text END AS tie, list_position({_NAMES}, resource) AS rank, CASE resource WHEN 'conditions' THEN '- Condition: ' || text || ', status active' WHEN 'medications' THEN '- Medication: ' || text || ' (' || CAST(value AS VARCHAR) || 'mg, daily)' WHEN 'allergies' THEN '- Allergy: ' || text || ', reaction: rash' WHEN 'vitals' THEN '- Vital sign: ' || display || ' = ' || CAST(value AS VARCHAR) || ' u' ELSE '- Procedure: ' || text || ' on 2020-01-02' END AS line FROM codes)
-SELECT row_id, string_agg(line, chr(10) ORDER BY rank, pos, tie, value) AS facts FROM lines GROUP BY row_id""")
+_LINES = f"""codes AS (SELECT *, {list(S.DISPLAYS.values())!r}[pos % 8 + 1] AS display FROM facts),
+lines AS (SELECT row_id, pos, value, CASE WHEN resource <> 'vitals' THEN text END AS tie, list_position({_NAMES}, resource) AS rank, CASE resource WHEN 'conditions' THEN '- Condition: ' || text || ', status active' WHEN 'medications' THEN '- Medication: ' || text || ' (' || CAST(value AS VARCHAR) || 'mg, daily)' WHEN 'allergies' THEN '- Allergy: ' || text || ', reaction: rash' WHEN 'vitals' THEN '- Vital sign: ' || display || ' = ' || CAST(value AS VARCHAR) || ' u' ELSE '- Procedure: ' || text || ' on 2020-01-02' END AS line FROM codes),
+told AS (SELECT row_id, string_agg(line, chr(10) ORDER BY rank, pos, tie, value) AS facts FROM lines GROUP BY row_id)"""
+
+
+@query(f"WITH {_FACTS}, {_LINES} SELECT row_id, facts FROM told")
 def prompt_facts(spark, sf_dir):
     return records(spark, sf_dir).select("row_id", prompts.fact_lines(F.col("record")).alias("facts"))
 
 
-@query()
+def _sql_pick(purpose: str, choices: tuple[str, ...]) -> str:
+    return f"{list(choices)!r}[1 + CAST(floor(CAST(('0x' || substr(md5(concat('42:', o_orderkey, ':{purpose}')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * {len(choices)}) AS INT)]"
+
+
+def _sql_fill(template: str, **values: str) -> str:
+    out = "'" + template.replace("'", "''") + "'"
+    for k, v in values.items():
+        out = f"replace({out}, '{{{k}}}', {v})"
+    return out
+
+
+@query(f"""WITH {_FACTS}, {_LINES},
+drawn AS (SELECT o_orderkey, o_orderdate, facts, {_sql_pick("doc_type", S.DOC_TYPES)} AS doc_type, {_sql_pick("style", S.STYLES)} AS style, {_sql_pick("noise", S.NOISE)} AS noise FROM orders JOIN told ON row_id = o_orderkey),
+filled AS (SELECT *, {_sql_fill(prompts.NOTE_PROMPT, date="strftime(o_orderdate, '%Y-%m-%d')", age="'50'", sex="'female'", doc_type="doc_type", style="style", noise="noise", facts="facts")} AS prompt FROM drawn)
+SELECT o_orderkey AS encounter_id, doc_type, CAST(len(prompt) AS INT) AS prompt_chars, 'Note ' || substr(sha256(prompt), 1, 8) || '. ' || array_to_string(list_transform(string_split(facts, chr(10)), lambda l: regexp_replace(l, '^- [^:]*: ', '')), '. ') || '.' AS note FROM filled""")
 def generated_notes(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("encounter_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("encounter_date"), F.lit(50).alias("age"), F.lit("female").alias("sex"))
     rows = prompts.note_prompts(orders.join(records(spark, sf_dir), F.col("encounter_id") == F.col("row_id")), 42)
@@ -418,12 +466,22 @@ def fhir_expand(spark, sf_dir):
     return rows.select("row_id", get("$.resourceType").alias("kind"), F.coalesce(get("$.code.text"), get("$.medicationCodeableConcept.text")).alias("text"))
 
 
-@query(f"WITH {_FACTS} SELECT row_id, CAST(0 AS INT) AS n_errors FROM facts GROUP BY row_id")
+@query(f"""WITH {_FACTS} SELECT row_id, CAST(count(*) FILTER (CASE resource WHEN 'conditions' THEN row_id % 5 = 0 WHEN 'medications' THEN row_id % 7 = 0 WHEN 'allergies' THEN row_id % 4 = 0 WHEN 'vitals' THEN row_id % 3 = 0 OR row_id % 11 = 0 ELSE row_id % 6 = 0 END) AS INT) AS n_errors FROM facts GROUP BY row_id""")
 def fhir_validity(spark, sf_dir):
-    return records(spark, sf_dir).select("row_id", F.size(bundles.fhir_errors(F.col("record"))).alias("n_errors"))
+    """Errors of records that have a month that isn't one, an empty text, an unknown code, no unit, and a date in another form."""
+    row, r = F.col("row_id"), lambda name: F.col(f"record.{name}")
+    odd = {
+        "conditions": F.transform(r("conditions"), lambda c: c.withField("onset_date", F.when(row % 5 == 0, "2020-13-01").when(row % 5 == 1, "2020-02"))),
+        "medications": F.transform(r("medications"), lambda m: m.withField("medication_text", F.when(row % 7 == 0, " ").otherwise(m["medication_text"]))),
+        "allergies": F.transform(r("allergies"), lambda a: a.withField("criticality", F.when(row % 4 == 0, "severe").when(row % 4 == 1, "high"))),
+        "vitals": F.transform(r("vitals"), lambda v: v.withField("unit", F.when(row % 3 == 0, "").otherwise(v["unit"])).withField("loinc_code", F.when(row % 11 == 0, "1-1").otherwise(v["loinc_code"]))),
+        "procedures": F.transform(r("procedures"), lambda p: p.withField("performed_date", F.when(row % 6 == 0, "02/03/2020").otherwise("2020-02-03T10:00:00"))),
+    }
+    spoilt = records(spark, sf_dir).select("row_id", F.struct(*[odd[n].alias(n) for n in S.RESOURCES]).alias("record"))
+    return spoilt.select("row_id", F.size(bundles.fhir_errors(F.col("record"))).alias("n_errors"))
 
 
-_MODELS = ("fhir-lora", "fhir-qlora", "fhir-v2", "fhir-v2-100", "Org/base model", "")
+_MODELS = ("notes-lora", "notes-qlora", "notes-v2", "notes-v2-100", "Org/base model", "")
 _RESULTS = "results AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'regex' ELSE 'llm' END AS system, [" + ", ".join(f"'{m}'" for m in _MODELS) + "][p_partkey % 6 + 1] AS model, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 5 END AS shots, p_size % 3 = 0 AS constrained, p_size % 5 > 0 AS schema_hint, 'test' AS split FROM part)"
 
 
@@ -437,7 +495,7 @@ def result_tags(spark, sf_dir):
     return _results(spark, sf_dir).select("p_partkey", report.result_tag().alias("tag"))
 
 
-_KEY = "CASE WHEN system = 'regex' THEN 'regex' WHEN contains(lower(model), 'qlora') THEN 'ft-qlora' WHEN contains(lower(model), 'elmtex') OR contains(lower(model), 'v2') THEN CASE WHEN regexp_matches(lower(model), '-[0-9]+$') THEN 'ft-elmtex-' || regexp_extract(lower(model), '([0-9]+)$', 1) ELSE 'ft-elmtex' END WHEN contains(lower(model), 'fhir-lora') THEN 'ft-bf16' ELSE 'base-' || shots || CASE WHEN constrained THEN '-constr' ELSE '' END END"
+_KEY = "CASE WHEN system = 'regex' THEN 'regex' WHEN contains(lower(model), 'qlora') THEN 'tuned-4bit' WHEN contains(lower(model), 'v2') THEN CASE WHEN regexp_matches(lower(model), '-[0-9]+$') THEN 'tuned-v2-' || regexp_extract(lower(model), '([0-9]+)$', 1) ELSE 'tuned-v2' END WHEN contains(lower(model), 'lora') THEN 'tuned' ELSE 'base-' || shots || CASE WHEN constrained THEN '-constr' ELSE '' END END"
 
 
 @query(f"WITH {_RESULTS}, k AS (SELECT {_KEY} AS key, * FROM results) SELECT key, max(p_partkey) AS p_partkey, arg_max(model, p_partkey) AS model FROM k GROUP BY key")
@@ -446,9 +504,9 @@ def last_wins(spark, sf_dir):
     return report.last_wins(keyed.select("key", "p_partkey", "model"), "key", "p_partkey")
 
 
-@query("SELECT row_id, max(v) FILTER (s = 'tuned') AS tuned, max(v) FILTER (s = 'base') AS base FROM (SELECT l_orderkey AS row_id, CASE WHEN l_linenumber = 1 THEN 'tuned' ELSE 'base' END AS s, l_quantity AS v FROM lineitem WHERE l_linenumber <= 2) GROUP BY row_id")
+@query("SELECT row_id, max(v) FILTER (s = 'tuned') AS tuned, max(v) FILTER (s = 'base') AS base FROM (SELECT l_orderkey AS row_id, CASE WHEN l_linenumber % 2 = 1 THEN 'tuned' ELSE 'base' END AS s, l_quantity AS v FROM lineitem) GROUP BY row_id")
 def pivot_systems(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("row_id"), F.when(F.col("l_linenumber") == 1, "tuned").otherwise("base").alias("s"), F.col("l_quantity").alias("v")).groupBy("row_id", "s").agg(F.max("v").alias("v"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.when(F.col("l_linenumber") % 2 == 1, "tuned").otherwise("base").alias("s"), F.col("l_quantity").alias("v")).groupBy("row_id", "s").agg(F.max("v").alias("v"))
     return stats.pivot_systems(rows, "row_id", "s", "v", ("tuned", "base"))
 
 
@@ -464,19 +522,30 @@ def external_records(spark, sf_dir):
     return external.pairs(rows).select("patient_id", texts("conditions", "code_text"), texts("medications", "medication_text"), texts("procedures", "code_text"))
 
 
-@query(f"""WITH {_FACTS}, o AS (SELECT * FROM orders JOIN facts ON row_id = o_orderkey)
-SELECT CAST(o_custkey AS VARCHAR) AS patient_id, CAST(o_orderkey AS VARCHAR) AS encounter_id, strftime(o_orderdate, '%Y-%m-%d') AS encounter_date, CAST(greatest(0, year(o_orderdate) - 1960) AS INT) AS age,
-CAST(count(*) FILTER (resource = 'conditions') AS INT) AS conditions, CAST(count(*) FILTER (resource = 'medications') AS INT) AS medications, CAST(count(*) FILTER (resource = 'vitals') AS INT) AS vitals, CAST(count(*) FILTER (resource = 'procedures') AS INT) AS procedures FROM o WHERE resource <> 'allergies' GROUP BY ALL""")
+@query(f"""WITH {_FACTS}, firsts AS (SELECT o_custkey, min(CAST(o_orderkey AS VARCHAR)) AS e FROM orders GROUP BY o_custkey),
+homes AS (SELECT orders.o_custkey, CASE WHEN resource = 'allergies' THEN e ELSE CAST(o_orderkey AS VARCHAR) END AS encounter_id, resource, text, value FROM orders JOIN facts ON row_id = o_orderkey JOIN firsts ON firsts.o_custkey = orders.o_custkey),
+said AS (SELECT o_custkey, encounter_id, resource, CASE WHEN resource = 'vitals' THEN printf('%.1f', value) ELSE text END AS what FROM homes UNION ALL SELECT o_custkey, encounter_id, resource, printf('%.1f', value + 10) FROM homes WHERE resource = 'vitals' AND value % 2 = 1)
+SELECT CAST(said.o_custkey AS VARCHAR) AS patient_id, encounter_id, strftime(o_orderdate, '%Y-%m-%d') AS encounter_date, CAST(greatest(0, year(o_orderdate) - 1960) AS INT) AS age,
+{", ".join(f"coalesce(string_agg(what, '|' ORDER BY what) FILTER (resource = '{r}'), '') AS {r}" for r in S.RESOURCES)} FROM said JOIN orders ON CAST(o_orderkey AS VARCHAR) = encounter_id GROUP BY ALL""")
 def bundle_roundtrip(spark, sf_dir):
-    """Each customer's orders as one FHIR bundle in JSON, read back into encounters."""
-    f = facts(spark, sf_dir).where("resource <> 'allergies'")
-    ref = F.struct(F.concat(F.lit("urn:uuid:"), F.col("row_id").cast("string")).alias("reference"))
-    q = F.struct("value", F.lit("u").alias("unit"))
-    coding = F.array(F.struct(F.lit("8867-4").alias("code")))
-    kinds = {"conditions": "Condition", "medications": "MedicationRequest", "vitals": "Observation", "procedures": "Procedure"}
-    kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("resource")]
+    """Each customer's orders as one FHIR bundle in JSON, read back into encounters: all facts, allergies at the first encounter, odd values as panels."""
+    f = facts(spark, sf_dir)
+    ref = F.when(F.col("resource") != "allergies", F.struct(F.concat(F.lit("urn:uuid:"), F.col("row_id").cast("string")).alias("reference")))
     is_ = lambda r, c: F.when(F.col("resource") == r, c)
-    one = F.struct(kind.alias("resourceType"), ref.alias("encounter"), F.when(F.col("resource") == "vitals", F.struct(F.lit(None).cast("string").alias("text"), coding.alias("coding"))).when(F.col("resource") != "medications", F.struct(F.col("text").alias("text"), F.lit(None).cast("array<struct<code:string>>").alias("coding"))).alias("code"), is_("medications", F.struct("text")).alias("medicationCodeableConcept"), is_("vitals", q).alias("valueQuantity"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("struct<start:string>").alias("period"), F.lit(None).cast("string").alias("birthDate"))
+    codes = lambda code: F.array(F.struct(F.lit(code).alias("code")))
+    amount = lambda v: F.struct(v.alias("value"), F.lit("u").alias("unit"))
+    kinds = {"conditions": "Condition", "medications": "MedicationRequest", "allergies": "AllergyIntolerance", "vitals": "Observation", "procedures": "Procedure"}
+    kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("resource")]
+    panel = F.col("value") % 2 == 1
+    part = lambda code, v: F.struct(F.struct(codes(code).alias("coding")).alias("code"), amount(v).alias("valueQuantity"))
+    no_code, no_text = F.lit(None).cast("array<struct<code:string>>"), F.lit(None).cast("string")
+    one = F.struct(
+        kind.alias("resourceType"), ref.alias("encounter"),
+        is_("vitals", F.struct(no_text.alias("text"), F.when(panel, codes("85354-9")).otherwise(codes("8867-4")).alias("coding"))).when(F.col("resource") != "medications", F.struct(F.col("text").alias("text"), no_code.alias("coding"))).alias("code"),
+        is_("medications", F.struct("text")).alias("medicationCodeableConcept"), F.when((F.col("resource") == "vitals") & ~panel, amount(F.col("value"))).alias("valueQuantity"),
+        F.when((F.col("resource") == "vitals") & panel, F.array(part("8480-6", F.col("value")), part("8462-4", F.col("value") + 10))).alias("component"),
+        no_text.alias("id"), F.lit(None).cast("struct<start:string>").alias("period"), no_text.alias("birthDate"),
+    )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("start"))
     bare = F.from_json(F.lit("{}"), f.select(one.alias("r")).schema["r"].dataType)
     visits = orders.select("o_custkey", F.struct("o_orderkey", F.lit(0).alias("pos")).alias("at"), bare.withField("resourceType", F.lit("Encounter")).withField("id", F.col("o_orderkey").cast("string")).withField("period", F.struct("start")).alias("r"))
@@ -485,10 +554,19 @@ def bundle_roundtrip(spark, sf_dir):
     entry = F.transform(F.array_sort(F.collect_list(F.struct("at", "r")), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda s: F.struct(s["r"].alias("resource")))
     docs = visits.unionByName(said).unionByName(people).groupBy("o_custkey").agg(F.to_json(F.struct(entry.alias("entry"))).alias("body"))
     read = bundles.encounters(files.bundles_of(docs, "o_custkey", "body"))
-    return read.select("patient_id", "encounter_id", "encounter_date", "age", *[F.size(f"record.{r}").alias(r) for r in ("conditions", "medications", "vitals", "procedures")])
+    names = {"conditions": "code_text", "medications": "medication_text", "allergies": "substance_text", "procedures": "code_text"}
+    told = lambda r: F.transform(f"record.{r}", lambda x: text.printf_tenth(x["value"]) if r == "vitals" else x[names[r]])
+    return read.select("patient_id", "encounter_id", "encounter_date", "age", *[F.array_join(F.array_sort(told(r)), "|").alias(r) for r in S.RESOURCES])
 
 
-@query()
+@query(
+    f"""WITH notes AS (SELECT l_orderkey, l_linenumber, {_NOTE} AS note FROM lineitem), found AS ({_sql_vitals()}),
+sides AS (SELECT concat(l_orderkey, ':', l_linenumber) AS row_id, loinc_code || '=' || printf('%.1f', CAST(v AS DOUBLE)) AS key, 1 AS p, 0 AS g FROM found UNION ALL SELECT concat(l_orderkey, ':', l_linenumber), '8867-4=' || printf('%.1f', l_linenumber + 50.0::DOUBLE), 0, 1 FROM notes),
+keyed AS (SELECT row_id, key, sum(p) AS p, sum(g) AS g FROM sides GROUP BY ALL),
+rows AS (SELECT row_id, sum(least(p, g)) AS tp, sum(p - least(p, g)) AS fp, sum(g - least(p, g)) AS fn FROM keyed GROUP BY row_id),
+f AS (SELECT round(CAST(2.0 * sum(tp) / (2.0 * sum(tp) + sum(fp) + sum(fn)) AS DOUBLE), 4) AS f1 FROM rows)
+SELECT count(*) AS n, (SELECT f1 FROM f) AS micro_f1, (SELECT f1 FROM f) AS macro_f1, 1.0::DOUBLE AS schema_validity, 0.0::DOUBLE AS hallucination_rate, round(avg(fn), 4) AS omission_rate FROM rows"""
+)
 def extraction_eval(spark, sf_dir):
     """The pattern baseline against gold vital signs, end to end: notes, prediction, counts, one result row."""
     notes = _notes(spark, sf_dir).select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("row_id"), "note", F.struct(F.array(F.struct(F.lit("8867-4").alias("loinc_code"), F.lit("").alias("display"), (F.col("l_linenumber") + 50).cast("double").alias("value"), F.lit("/min").alias("unit"))).alias("vitals"), *[F.array().cast(S.RECORD[r].dataType).alias(r) for r in S.RESOURCES if r != "vitals"]).alias("label"))

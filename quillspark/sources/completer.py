@@ -39,6 +39,17 @@ def build(name: str = "echo") -> Completer:
     return BACKENDS[name]
 
 
+def preflight(completer: Completer, prompts: tuple[str, ...] = ("Reply with one word.", "Reply with {}.")) -> None:
+    """Fails early, and says why, where a completer doesn't answer each prompt with a text."""
+    for p in prompts:
+        try:
+            found = completer([p])
+        except Exception as e:
+            raise RuntimeError(f"the completer failed on {p!r}: {e}") from e
+        if len(found) != 1 or not isinstance(found[0], str):
+            raise RuntimeError(f"the completer must give one text for {p!r}, but gave {found!r}")
+
+
 def complete(df: DataFrame, completer: Completer, prompt: str = "prompt", out: str = "completion", batch_size: int = 512) -> DataFrame:
     """df with a column of completions, in place."""
 

@@ -35,11 +35,14 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType, limit: int
     return (rows if limit is None else rows.where(F.col("pos") < limit)).select("pos", "row.*")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def done_ids(spark: SparkSession, path: str) -> DataFrame:
     """encounter_id of what a checkpoint holds: none where it isn't there yet, and malformed lines don't count."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         return spark.createDataFrame([], "encounter_id string")
     schema = "encounter_id string, _bad string"
     rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
