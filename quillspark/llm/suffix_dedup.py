@@ -12,10 +12,13 @@ tries for the groups that are still equal. Equal spans of different blocks meet
 fingerprints in a bucketed exchange, which tells each block which of its spans occur earlier
 elsewhere, and which anchors have several different spans. Only of the latter, first spans,
 single windows are compared in a second exchange: there a repeated passage begins or ends.
+Windows are hashed in pieces of PIECE, so the memory of a block doesn't grow with more than its
+bytes and their hashes; a span that a piece's end cuts is two spans, and their windows meet singly.
 
 Rows: a null text is empty, a null doc_id comes after all others; repeated rows of a doc_id
 follow each other in the order of their texts. Texts shorter than `length` stay whole.
-Fingerprints between blocks have 64 bits or more; inside a block bytes are compared.
+Inside a block the spans' bytes are compared. Between blocks, spans are equal by 128 bits (their
+anchor's hash and their own), windows by 96 (their hash and 32 bits of their anchor's).
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,7 +36,7 @@ from quillspark.llm import textkernel as tk
 from quillspark.llm.exchange import MESSAGE, MESSAGE_SQL, KEYS_PER_BUCKET, answers, in_order, into_blocks, receive, reply, send
 from quillspark.llm.shared import table, text_bytes
 
-LENGTH, GRAM, SHALLOW = 100, 32, 32
+LENGTH, GRAM, SHALLOW, PIECE = 100, 32, 32, 1 << 18
 _LAST = np.iinfo(np.int64).max
 
 
@@ -59,13 +63,20 @@ def rolling(buf: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-def spans(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
-    """Spans of a pack: first and last window start, document, anchor hash, span fingerprint; and all windows' hashes."""
-    g, w = rolling(buf, (gram, length))
-    empty = {k: np.zeros(0, np.int64) for k in ("lo", "hi", "doc")} | {k: np.zeros(0, tk.U64) for k in ("anchor", "span")} | {"window": w}
-    if not len(w):
-        return empty
-    key = (tk.mix(g) & ~tk.U64(0xFFFFFFF)) | np.arange(len(g), dtype=tk.U64)  # the leftmost of equal hashes
+def spans(buf: np.ndarray, off: np.ndarray, length: int, gram: int, piece: int | None = None) -> dict[str, np.ndarray]:
+    """Spans of a pack: first and last window start, document, anchor hash, span fingerprint; and the hashes of all windows."""
+    piece = piece or PIECE
+    window = np.zeros(max(0, len(buf) - length + 1), tk.U64)
+    parts = [_spans_between(buf, off, length, gram, lo, min(lo + piece, len(window)), window) for lo in range(0, len(window), piece)]
+    empty = {k: np.zeros(0, np.int64) for k in ("lo", "hi", "doc")} | {k: np.zeros(0, tk.U64) for k in ("anchor", "span")}
+    return {k: np.concatenate([p[k] for p in parts]) if parts else e for k, e in empty.items()} | {"window": window}
+
+
+def _spans_between(buf: np.ndarray, off: np.ndarray, length: int, gram: int, a: int, b: int, window: np.ndarray) -> dict[str, np.ndarray]:
+    """The spans of the windows that start in [a, b), whose hashes go to `window`."""
+    g, w = rolling(buf[a : b + length - 1], (gram, length))
+    window[a:b] = w
+    key = (tk.mix(g) & ~tk.U64(0xFFFFFFF)) | np.arange(len(g), dtype=tk.U64)  # the leftmost of equal hashes; a piece has less than 2^28 bytes
     reach, width, least = length - gram + 1, 1, key
     while width * 2 <= reach:
         least = np.minimum(least[:-width], least[width:])
@@ -73,19 +84,20 @@ def spans(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> dict[str,
     rest = reach - width
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
     least = (least[: len(w)] & tk.U64(0xFFFFFFF)).astype(np.int64)
-    doc_of = np.repeat(np.arange(len(off) - 1), np.maximum(np.diff(off) - length + 1, 0))
-    n_in = np.maximum(np.diff(off) - length + 1, 0)
-    start = np.repeat(off[:-1] - np.concatenate(([0], np.cumsum(n_in)[:-1])), n_in) + np.arange(n_in.sum())
-    if not len(start):
-        return empty
+    first_doc, last_doc = np.searchsorted(off, a, "right") - 1, np.searchsorted(off, b - 1, "right")
+    lo_of, n_in = np.maximum(off[first_doc:last_doc], a), np.minimum(off[first_doc + 1 : last_doc + 1] - length + 1, b)
+    n_in = np.maximum(n_in - lo_of, 0)
+    doc_of = np.repeat(np.arange(first_doc, last_doc), n_in)
+    start = np.repeat(lo_of - a - np.concatenate(([0], np.cumsum(n_in)[:-1])), n_in) + np.arange(n_in.sum())
     anchor = least[start]
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc_of[1:] != doc_of[:-1])
     first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(start)])) - 1
+    last = np.concatenate((first[1:], [len(start)])) - 1 if len(first) else first
     lo, hi, m = start[first], start[last], anchor[first]
     c = tk.salted(31, 4)
-    return {"lo": lo, "hi": hi, "doc": doc_of[first], "anchor": tk.mix(g[m]), "span": tk.mix(tk.mix(w[lo] * c[0] + w[hi] * c[1]) + (hi - lo).astype(tk.U64) * c[2] + (m - lo).astype(tk.U64) * c[3]), "window": w}
+    print_ = tk.mix(tk.mix(w[lo] * c[0] + w[hi] * c[1]) + (hi - lo).astype(tk.U64) * c[2] + (m - lo).astype(tk.U64) * c[3])
+    return {"lo": lo + a, "hi": hi + a, "doc": doc_of[first], "anchor": tk.mix(g[m]), "span": print_}
 
 
 class BlindTrie:
@@ -179,8 +191,9 @@ def deep_shallow(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, shallow: int =
 
 def _block(rows: pa.Table, length: int, gram: int) -> dict:
     """A block's spans, sorted: which are the first of their class in the block, and the classes' fingerprints."""
-    rows = in_order(rows)
+    rows = in_order(rows.drop_columns(["body"]).append_column("text", pa.array(unpress(rows.column("body").to_pylist()), pa.large_string())))
     buf, off = tk.pack(rows.column("text"))
+    rows = rows.drop_columns(["text"])
     s = spans(buf, off, length, gram)
     order, group = deep_shallow(buf, s["lo"], s["hi"] + length, min(SHALLOW, length // 8 * 8))
     n = len(order)
@@ -200,6 +213,11 @@ def _distinct_anchor_messages(s: dict, block: int, n_buckets: int) -> list[dict]
     return send(block, 1, n_buckets, s["anchor"][h], s["span"][h], s["ids"][s["doc"][h]])
 
 
+def unpress(bodies: list) -> list:
+    d = zstandard.ZstdDecompressor()
+    return [None if z is None else d.decompress(z).decode() for z in bodies]
+
+
 def _first_of(key: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
     """Whether each row's document is later than another row's of an equal key."""
     order = np.lexsort((doc, *key))
@@ -214,13 +232,26 @@ def _first_of(key: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
     return later
 
 
+def _pressed(blocks: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The blocks with their texts compressed: block, doc_id, keep..., body."""
+    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*keep).schema.fields) if keep else ""
+
+    def press(batches):
+        c = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            bodies = pa.array([None if t is None else c.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("doc_id"), *[b.column(k) for k in keep], bodies], ["block", "doc_id", *keep, "body"])
+
+    return blocks.mapInArrow(press, "block int, doc_id long" + carried + ", body binary")
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, *keep: str, as_text: bool = False) -> DataFrame:
     """docs(doc_id, text, keep...) -> doc_id, keep..., n_bytes, spans (array of removed [start, end)), kept (the remaining bytes).
 
     as_text: kept is a string instead, without characters of which only some bytes remain.
     """
     total = text_bytes(docs)
-    blocks = into_blocks(docs, total, *keep)
+    blocks = _pressed(into_blocks(docs, total, *keep), keep)
     n_buckets = max(1, total // 30 // KEYS_PER_BUCKET)
 
     def ask(key, rows):
@@ -240,28 +271,33 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, *keep:
         mixed[order] = several[at]
         return reply(rows, sender, 1, (_first_of((span, anchor), doc) + 2 * mixed).astype(np.uint8))
 
-    def windows(s: dict, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of first spans with a mixed anchor: distinct window hashes, all their places, and what each place's hash is."""
+    def windows(s: dict, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of first spans with a mixed anchor: distinct windows by hash and anchor's hash, all their places, and which window each place has."""
         own = np.zeros(len(s["lo"]), np.uint8)
         own[s["heads"]] = flags
         open_ = np.flatnonzero((s["of"] == np.arange(len(own))) & (own == 2))
         n = s["hi"][open_] - s["lo"][open_] + 1
         place = np.repeat(s["lo"][open_] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(open_) else np.zeros(0, np.int64)
-        key, inverse = np.unique(tk.mix(s["window"][place]), return_inverse=True)
-        return key, place, inverse
+        key, check = tk.mix(s["window"][place]), (np.repeat(s["anchor"][open_], n) >> tk.U64(32)).astype(np.uint32)
+        order = np.lexsort((check, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        return key[order][new], check[order][new], place, inverse
 
     def ask_windows(key, rows, told):
         s = _block(rows, length, gram)
         (flags,) = answers(told, 1, s["anchor"][s["heads"]], n_buckets, [np.uint8])
-        key_, place, inverse = windows(s, flags)
+        key_, check, place, inverse = windows(s, flags)
         first = np.full(len(key_), _LAST)
         np.minimum.at(first, inverse, place)
         doc = s["ids"][np.searchsorted(s["off"], first, "right") - 1] if len(first) else np.zeros(0, np.int64)
-        return pa.Table.from_pylist(send(key[0].as_py(), 2, n_buckets, key_, doc), MESSAGE)
+        return pa.Table.from_pylist(send(key[0].as_py(), 2, n_buckets, key_, check, doc), MESSAGE)
 
     def tell_windows(key, rows):
-        sender, window, (doc,) = receive(rows, n_buckets)
-        return reply(rows, sender, 2, _first_of((window,), doc).astype(np.uint8))
+        sender, window, (check, doc) = receive(rows, n_buckets)
+        return reply(rows, sender, 2, _first_of((check, window), doc).astype(np.uint8))
 
     carried = [f for f in docs.select(*keep).schema.fields] if keep else []
 
@@ -271,7 +307,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, *keep:
         s = _block(rows, length, gram)
         buf, off, of = s["buf"], s["off"], s["of"]
         (flags,) = answers(told, 1, s["anchor"][s["heads"]], n_buckets, [np.uint8])
-        key_, place, inverse = windows(s, flags)
+        key_, _, place, inverse = windows(s, flags)
         (earlier,) = answers(told, 2, key_, n_buckets, [np.uint8])
         first = np.full(len(key_), _LAST)
         np.minimum.at(first, inverse, place)
