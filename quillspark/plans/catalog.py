@@ -158,6 +158,63 @@ def quota_split(spark, sf_dir):
     return splits.split_by_entity(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", {"train": 100, "val": 50, "test_synthetic": 70}, 42)
 
 
+@query(
+    f"""WITH {_placed()}, ends AS (SELECT (SELECT min(cum) FROM placed WHERE cum >= 50) AS a),
+e2 AS (SELECT a, (SELECT min(cum) FROM placed WHERE cum >= a + 70) AS b FROM ends),
+s AS (SELECT o_orderkey, CASE WHEN cum < a THEN 'val' WHEN cum < b THEN 'test_synthetic' ELSE 'train' END AS split FROM orders JOIN placed USING (o_custkey), e2)
+SELECT split, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM s GROUP BY split"""
+)
+def split_files(spark, sf_dir):
+    """Splits written as JSON lines by split, and read back."""
+    at = files.scratch(spark)
+    report.write_splits(quota_split(spark, sf_dir), at)
+    return files.json_lines(spark, at, "o_orderkey long, o_custkey long, split string").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS encounter_id FROM orders WHERE o_custkey % 3 < 2")
+def checkpoint_files(spark, sf_dir):
+    """Pairs appended in two goes, the second of which repeats some of the first, beside a line that isn't JSON: the ids that are done."""
+    at = files.scratch(spark)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("encounter_id"), F.col("o_custkey").alias("customer"), F.lit("n").alias("note"))
+    report.append_pairs(rows.where("customer % 3 = 0"), at)
+    spark.range(1).select(F.lit('{"encounter_id": "cut sho').alias("value")).write.mode("append").text(at)
+    report.append_pairs(rows.where("customer % 3 < 2 and (customer % 3 = 1 or customer % 2 = 0)"), at)
+    return files.done_ids(spark, at)
+
+
+@query("SELECT n_nationkey AS pos, n_name FROM nation WHERE n_nationkey < 7")
+def array_file(spark, sf_dir):
+    """A table as one JSON array in a file, of which the first seven elements are read."""
+    at = files.scratch(spark)
+    one = table(spark, sf_dir, "nation").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value"))
+    one.coalesce(1).write.text(at)
+    return files.json_array(spark, at, S.T._parse_datatype_string("n_nationkey int, n_name string"), 7).select("pos", "n_name")
+
+
+@query("SELECT 'n_name' AS key, count(*) AS n FROM nation UNION ALL SELECT 'even', count(*) FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'third', count(*) FROM nation WHERE n_nationkey % 3 = 0")
+def json_tree_keys(spark, sf_dir):
+    """Keys of JSON objects in files below a folder, whose fields differ."""
+    at = files.scratch(spark)
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name", F.when(F.col("n_nationkey") % 2 == 0, True).alias("even"), F.when(F.col("n_nationkey") % 3 == 0, 1).alias("third"))
+    rows.write.partitionBy("n_regionkey", "n_nationkey").json(at)
+    return stats.key_counts(files.json_objects(spark, at), "body")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS patient_id, CAST(c_custkey AS VARCHAR) AS encounter_id, c_mktsegment AS condition FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def bundle_files(spark, sf_dir):
+    """A bundle file for each nation, whose customers are encounters with one condition each, read back and un-nested."""
+    at = files.scratch(spark)
+    customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey")), F.col("n_nationkey") == F.col("c_nationkey"))
+    key = F.col("c_custkey").cast("string")
+    visit = F.struct(F.struct(F.lit("Encounter").alias("resourceType"), key.alias("id"), F.lit(None).cast("struct<reference:string>").alias("encounter"), F.lit(None).cast("struct<text:string>").alias("code")).alias("resource"))
+    said = F.struct(F.struct(F.lit("Condition").alias("resourceType"), F.lit(None).cast("string").alias("id"), F.struct(F.concat(F.lit("Encounter/"), key).alias("reference")).alias("encounter"), F.struct(F.col("c_mktsegment").alias("text")).alias("code")).alias("resource"))
+    patient = F.struct(F.struct(F.lit("Patient").alias("resourceType"), F.col("n_nationkey").cast("string").alias("id"), F.lit(None).cast("struct<reference:string>").alias("encounter"), F.lit(None).cast("struct<text:string>").alias("code")).alias("resource"))
+    bundles_ = customers.groupBy("n_nationkey").agg(F.concat(F.array(patient), F.flatten(F.collect_list(F.array(visit, said)))).alias("entry"))
+    bundles_.withColumn("folder", F.col("n_nationkey")).drop("n_nationkey").write.partitionBy("folder").json(at)
+    read = bundles.encounters(files.bundles(spark, at))
+    return read.select("patient_id", "encounter_id", F.array_join(F.transform("record.conditions", lambda c: c["code_text"]), "|").alias("condition"))
+
+
 @query(
     """WITH counts AS (SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS n FROM orders GROUP BY o_custkey HAVING n > 0),
 held AS (SELECT o_custkey FROM (SELECT o_custkey, coalesce(sum(n) OVER (ORDER BY md5(concat('42:', o_custkey)), o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM counts) WHERE cum < 60)
@@ -333,11 +390,11 @@ def coverage_decision(spark, sf_dir):
 @query(f"""WITH {_FACTS}, {_PRED},
 rows AS (SELECT row_id, count(*) AS n FROM facts GROUP BY row_id), lost AS (SELECT row_id, count(*) AS n FROM drawn WHERE d >= 'd' GROUP BY row_id), made AS (SELECT row_id, count(*) AS n FROM drawn WHERE d = '0' GROUP BY row_id),
 c AS (SELECT row_id, coalesce(l.n, 0) AS m, coalesce(a.n, 0) AS i FROM rows r LEFT JOIN lost l USING (row_id) LEFT JOIN made a USING (row_id))
-SELECT count(*) AS raw_pairs, count(*) FILTER (m = 0 AND i = 0) AS kept_pairs, round(count(*) FILTER (m > 0 OR i > 0) / count(*)::DOUBLE, 4) AS drop_rate, round(count(*) FILTER (m > 0) / count(*)::DOUBLE, 4) AS drop_rate_missing, round(count(*) FILTER (i > 0) / count(*)::DOUBLE, 4) AS drop_rate_invented FROM c""")
+SELECT r.*, raw_pairs, kept_pairs, drop_rate, drop_rate_missing, drop_rate_invented FROM (SELECT count(*) AS raw_pairs, count(*) FILTER (m = 0 AND i = 0) AS kept_pairs, round(count(*) FILTER (m > 0 OR i > 0) / count(*)::DOUBLE, 4) AS drop_rate, round(count(*) FILTER (m > 0) / count(*)::DOUBLE, 4) AS drop_rate_missing, round(count(*) FILTER (i > 0) / count(*)::DOUBLE, 4) AS drop_rate_invented FROM c), (SELECT {", ".join(f"count(DISTINCT row_id) FILTER (resource = '{r}') AS {r}" for r in S.RESOURCES)} FROM facts) r""")
 def rates_manifest(spark, sf_dir):
     d = F.substring(F.md5(F.concat_ws(":", "row_id", "pos").cast("binary")), 1, 1)
     rows = facts(spark, sf_dir).withColumn("d", d).groupBy("row_id").agg(F.collect_list(F.when(F.col("d") >= "d", F.col("text"))).alias("missing"), F.collect_list(F.when(F.col("d") == "0", F.col("text"))).alias("invented"))
-    return stats.drop_rates(rows)
+    return report.manifest(stats.drop_rates(rows), rows=stats.rows_by_resource(records(spark, sf_dir), "record")).select("*", "rows.*").drop("rows")
 
 
 @query(f"WITH {_FACTS}, r AS (SELECT row_id, list(DISTINCT resource) AS l FROM facts GROUP BY row_id) SELECT " + ", ".join(f"count(*) FILTER (list_contains(l, '{r}')) AS {r}" for r in S.RESOURCES) + " FROM r")
@@ -432,6 +489,27 @@ lines AS (SELECT row_id, pos, value, CASE WHEN resource <> 'vitals' THEN text EN
 told AS (SELECT row_id, string_agg(line, chr(10) ORDER BY rank, pos, tie, value) AS facts FROM lines GROUP BY row_id)"""
 
 
+_TUNED = "notes-lora"
+_MODEL = f"CASE WHEN p_partkey % 2 = 0 THEN '{_TUNED}' ELSE 'other' END"
+_NOTE_OF = "concat('Note of ', p_name, ' {schema} ', p_type, '. ', chr(10))"
+
+
+def _sql_extraction() -> str:
+    # the note goes in last: what looks like a field in it stays as it is
+    head, tail = prompts.EXTRACT_PROMPT.replace("'", "''").split("{note}")
+    schema = f"CASE WHEN model <> '{_TUNED}' THEN 'The JSON must validate against this schema:' || chr(10) || '{S.RECORD_DDL}' || chr(10) ELSE '' END"
+    return f"replace('{head}', '{{schema}}', {schema}) || note || '{tail}'"
+
+
+@query(f"WITH n AS (SELECT p_partkey, {_MODEL} AS model, {_NOTE_OF} AS note FROM part), p AS (SELECT *, {_sql_extraction()} AS prompt FROM n) SELECT p_partkey, sha256(prompt) AS prompt_sha256, 'user: ' || regexp_replace(note, '\\s+$', '') || '|assistant: ' || prompt[1:8] AS chat FROM p")
+def extraction_prompts(spark, sf_dir):
+    """Prompts with the schema but for the tuned model, and chat examples of the bare notes."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_MODEL).alias("model"), F.expr(_NOTE_OF.replace("chr(10)", "char(10)")).alias("note"))
+    prompt = prompts.prompt_for(F.col("model"), _TUNED, F.col("note"))
+    told = F.transform(prompts.chat(F.col("note"), F.substring(prompt, 1, 8)), lambda m: F.concat_ws(": ", m["role"], m["content"]))
+    return rows.select("p_partkey", F.sha2(prompt.cast("binary"), 256).alias("prompt_sha256"), F.array_join(told, "|").alias("chat"))
+
+
 @query(f"WITH {_FACTS}, {_LINES} SELECT row_id, facts FROM told")
 def prompt_facts(spark, sf_dir):
     return records(spark, sf_dir).select("row_id", prompts.fact_lines(F.col("record")).alias("facts"))
@@ -495,6 +573,26 @@ def result_tags(spark, sf_dir):
     return _results(spark, sf_dir).select("p_partkey", report.result_tag().alias("tag"))
 
 
+_SCORED = "scored AS (SELECT system, CASE WHEN system <> 'regex' AND model <> '' THEN model END AS model, shots, constrained, schema_hint, split, count(*) AS n, round(avg(p_size) / 50, 4) AS micro_f1 FROM results GROUP BY ALL)"
+
+
+def _scored(spark, sf_dir):
+    model = F.when((F.col("system") != "regex") & (F.col("model") != ""), F.col("model"))
+    rows = _results(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").withColumn("model", model)
+    rows = rows.groupBy("system", "model", "shots", "constrained", "schema_hint", "split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_size") / 50, 4).alias("micro_f1"))
+    return rows.withColumn("scored_resources", F.array(F.lit("conditions"), F.lit("vitals"))).withColumn("per_resource", F.create_map(F.lit("vitals"), F.col("micro_f1")))
+
+
+@query(f"WITH {_RESULTS.replace('AS split FROM part', 'AS split, p_size FROM part')}, {_SCORED} SELECT system, model, shots, constrained, schema_hint, n, micro_f1, micro_f1 AS vitals, 'conditions,vitals' AS scored FROM scored")
+def result_files(spark, sf_dir):
+    """Results written as one file each, in folders by tag, and read back."""
+    at = files.scratch(spark)
+    rows = _scored(spark, sf_dir)
+    report.write_result(rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in S.RESULT.fields]), at)
+    back = files.results(spark, at)
+    return back.select("system", "model", "shots", "constrained", "schema_hint", "n", "micro_f1", F.col("per_resource")["vitals"].alias("vitals"), F.array_join("scored_resources", ",").alias("scored"))
+
+
 _KEY = "CASE WHEN system = 'regex' THEN 'regex' WHEN contains(lower(model), 'qlora') THEN 'tuned-4bit' WHEN contains(lower(model), 'v2') THEN CASE WHEN regexp_matches(lower(model), '-[0-9]+$') THEN 'tuned-v2-' || regexp_extract(lower(model), '([0-9]+)$', 1) ELSE 'tuned-v2' END WHEN contains(lower(model), 'lora') THEN 'tuned' ELSE 'base-' || shots || CASE WHEN constrained THEN '-constr' ELSE '' END END"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +38,16 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType, limit: int
     return (rows if limit is None else rows.where(F.col("pos") < limit)).select("pos", "row.*")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where all run on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="quillspark-")
+    return f"{found}/{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
