@@ -65,3 +65,20 @@ def test_a_tile_keeps_all_connections():
         assert not (thin & ~m).any()
         reach = [np.linalg.matrix_power(np.eye(len(x)) + (x.astype(float) @ x.T > 0), 40) > 0 for x in (m, thin)]
         assert (reach[0] == reach[1]).all() and (m.any(0) == thin.any(0)).all() and (m.any(1) == thin.any(1)).all()
+
+
+def test_rows_of_one_id_keep_their_own_vectors(spark):
+    data = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.01, 1.0, 0.0], 0), (3, [0.01, 1.0, 0.0], 0), (4, [0.0, 0.0, 1.0], 0), (4, [0.0, 0.0, 1.0], 1)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(3)
+    want = sorted([(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (4, 0, 4, True)])
+    assert sorted(tuple(r) for r in vd.near_vectors(df).collect()) == want == brute(data)
+
+
+def test_one_crowded_cell_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vd, "CELL_ROWS", 200)
+    monkeypatch.setattr(vd, "VECTOR_ROWS", 50)
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(16)
+    data = [(i, [float(x) for x in centre + rng.standard_normal(16) * (0.05 if i % 3 else 0.2)], 1) for i in range(150)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(4)
+    assert sorted(tuple(r) for r in vd.near_vectors(df, tile=20).collect()) == brute(data)
