@@ -24,11 +24,18 @@ def rows_by_resource(rows: DataFrame, record: str = "label") -> DataFrame:
     return rows.agg(*[F.count_if(F.size(f"{record}.{r}") > 0).alias(r) for r in S.RESOURCES])
 
 
-def ngrams(words: str, n: int) -> Column:
-    """(n, p, q) of each n words that follow each other in a column of word lists: 128 bits that stand for them."""
-    own = lambda i: [F.get(words, i + k) for k in range(n)]
-    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
-    return F.transform(starts, lambda _, i: F.struct(F.lit(n).alias("n"), F.xxhash64(*own(i)).alias("p"), F.xxhash64(F.lit(n), *own(i)[::-1]).alias("q")))
+def ngrams(words: DataFrame, *sizes: int) -> DataFrame:
+    """(words: list) -> n, p, q of each n words that follow each other, for each size: 128 bits that stand for them.
+
+    Places and sizes are exploded, and the words looked up, inside code generation: no list of n-grams is made.
+    """
+    placed = words.where(F.size("words") > 0).select("words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("i"))
+    placed = placed.select("words", "i", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where(F.col("i") + F.col("n") <= F.size("words"))
+    p = q = None
+    for n in sizes:
+        own = [F.get("words", F.col("i") + k) for k in range(n)]
+        p, q = ((F if c is None else c).when(F.col("n") == n, F.xxhash64(*x)) for c, x in ((p, own), (q, [F.lit(n), *own[::-1]])))
+    return placed.select("n", p.alias("p"), q.alias("q"))
 
 
 def distinct_n(docs: DataFrame, text: str, *sizes: int) -> DataFrame:
@@ -36,8 +43,8 @@ def distinct_n(docs: DataFrame, text: str, *sizes: int) -> DataFrame:
 
     One scan for all sizes. N-grams are shuffled as 128-bit hashes, counted within each task before.
     """
-    words = docs.select(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "").alias("words")).where("words is not null")
-    grams = words.select(F.inline(F.concat(*[ngrams("words", n) for n in sizes])))
+    words = docs.select(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "").alias("words"))
+    grams = ngrams(words, *sizes)
     by_n = grams.groupBy("n", "p", "q").agg(F.count(F.lit(1)).alias("c")).groupBy("n").agg((F.count(F.lit(1)) / F.sum("c")).alias("found"))
     every = docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sizes))).alias("n"))
     return every.join(by_n, "n", "left").select("n", F.coalesce("found", F.lit(0.0)).alias("distinct_ratio"))
