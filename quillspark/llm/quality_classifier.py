@@ -23,6 +23,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,10 +106,20 @@ def project(d: np.ndarray, f: np.ndarray, n: np.ndarray, n_docs: int, weight: np
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, rank: int = RANK) -> dict:
     """The model: feature weights, projection, labelled vectors and labels. Its size is bounded by the parameters."""
-    rows = labelled_sample(docs, labels, "quality", 3, 1, max_train).toArrow().sort_by("doc_id")
+    def counted(batches):
+        """The features of the labelled texts: what the driver gets is bounded by rows and features, however long a text is."""
+        for b in tk.slices(batches):
+            d, f, n = features(*tk.pack(b.column("text")))
+            cut = pa.array(np.searchsorted(d, np.arange(b.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (f, n)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *lists], ["doc_id", "label", "f", "n"])
+
+    sample = labelled_sample(docs, labels, "quality", 3, 1, max_train).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    rows = sample.mapInArrow(counted, "doc_id long, label int, f array<int>, n array<int>").toArrow().sort_by("doc_id").combine_chunks()
     weight = idf(document_frequencies(docs))
     y = rows.column("label").to_numpy().astype(np.float32)
-    d, f, n = features(*tk.pack(rows.column("text")))
+    f, n = (rows.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) if len(y) else np.zeros(0, np.int64) for c in ("f", "n"))
+    d = np.repeat(np.arange(len(y)), pc.list_value_length(rows.column("f")).to_numpy()) if len(y) else np.zeros(0, np.int64)
     a = np.zeros((len(y), N_FEATURES), np.float32)
     a[d, f] = (1 + np.log(n)) * weight[f]
     a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
