@@ -11,7 +11,7 @@ is then settled inside each bucket. The cut is found the same way: sums by
 finish-time bucket, then an exact order inside the one bucket that holds the cut.
 
 Nulls: a null text has size 0, a null source is a source of its own (last), a null
-doc_id sorts first. Rows of size 0 take 0 words. Repeated rows count each. An empty
+doc_id sorts first. Rows of one doc_id and size go by a hash of their text. Rows of size 0 take 0 words. Repeated rows count each. An empty
 table gives no rows.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.shared import WORD, table, written
@@ -45,21 +45,34 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_copies: int =
     return w.select("source", "source_size", F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES, key: str = "doc_id") -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, size, source, source_size, target, taken."""
-    sizes = docs.select(F.col(key).alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def _bucket(seed: str, digits: int) -> Column:
+    """The bucket of a row: the first digits of its place in the shuffle.
+
+    All rows without doc_id share one place. They get buckets of their own by size and text,
+    which sort between those of the rows before and after that place.
+    """
+    prefix, void = F.substring("shuffle", 1, digits), F.md5(F.lit(f"{seed}null").cast("binary"))
+    own = F.concat(void, F.lit(":"), F.lpad(F.col("size").cast("string"), 12, "0"), F.lit(":"), F.lpad(F.pmod("tie", F.lit(256)).cast("string"), 3, "0"))
+    after = (prefix == F.substring(void, 1, digits)) & (F.col("shuffle") > void)
+    return F.when(F.col("doc_id").isNull(), own).when(after, F.concat(prefix, F.lit("g"))).otherwise(prefix)
+
+
+def mix_sources(docs: DataFrame, *keep: str, seed: str = "mix", weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES, key: str = "doc_id") -> DataFrame:
+    """docs(doc_id, text, source, keep...) -> doc_id, size, source, source_size, target, keep..., taken."""
+    kept = F.struct(*keep, F.lit(True).alias("_")).alias("kept")
+    sizes = docs.select(F.col(key).alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"), kept)
     sizes = written(sizes)
     n, budget = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
     targets = written(source_targets(sizes, weights, max_copies))
     digits = max(1, math.ceil(math.log(max(n, 2) / PER_BUCKET, 16))) if n > PER_BUCKET else 1
-    shuffled = sizes.withColumn("shuffle", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))).withColumn("bucket", F.substring("shuffle", 1, digits))
+    shuffled = sizes.withColumn("shuffle", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))).withColumn("bucket", _bucket(seed, digits))
     by_bucket = shuffled.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = by_bucket.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     starts = start.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "bucket", "before", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("shuffle", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("shuffle", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     queue = shuffled.withColumn("within", F.sum("size").over(inside)).alias("q").join(starts.alias("s"), F.col("q.source").eqNullSafe(F.col("s.source")) & (F.col("q.bucket") == F.col("s.bucket")))
-    queue = written(queue.select("doc_id", "size", "q.source", "source_size", "target", "shuffle", (F.col("before") + F.col("within")).alias("done")))
+    queue = written(queue.select("doc_id", "size", "q.source", "source_size", "target", "shuffle", "kept", (F.col("before") + F.col("within")).alias("done")))
 
     def finish(copy):
         return (F.col("done") + F.col("source_size") * copy).cast("double") / F.col("target")
@@ -67,8 +80,16 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, ma
     passes = F.greatest(F.lit(1), F.least(F.lit(max_copies), F.ceil(F.col("target") / F.col("source_size"))))
     slots = queue.where("size > 0 and target > 0").select("size", "shuffle", "doc_id", F.explode(F.sequence(F.lit(0), (passes - 1).cast("int"))).alias("copy"), "done", "source_size", "target").withColumn("finish", finish(F.col("copy"))).withColumn("tick", F.floor(F.col("finish") * max(1, (n or 0) // PER_BUCKET)))
     ticks = slots.groupBy("tick").agg(F.sum("size").alias("words"))
-    upto = ticks.withColumn("upto", F.sum("words").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = upto.where(F.col("upto") > (budget or 0)).orderBy("tick").select("tick", (F.col("upto") - F.col("words")).alias("before")).first()
+
+    def first_over(rows: DataFrame, step: str, before: int):
+        """The first step at which the words reach past the budget, and the words before it."""
+        upto = rows.withColumn("upto", F.sum("words").over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, 0)) + before)
+        return upto.where(F.col("upto") > (budget or 0)).orderBy(step).select(F.col(step).alias("tick"), (F.col("upto") - F.col("words")).alias("before")).first()
+
+    # two levels, so that no task sees more than the square root of the ticks or so
+    wide = F.floor(F.col("tick") / PER_BUCKET)
+    cut = first_over(ticks.groupBy(wide.alias("wide")).agg(F.sum("words").alias("words")), "wide", 0)
+    cut = cut and first_over(ticks.where(wide == cut["tick"]), "tick", cut["before"])
     if cut is None:
         last = None
     else:
@@ -86,7 +107,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, ma
             fits = (F.lit(copy) < passes) & (this <= F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["shuffle"]).alias("shuffle"), F.lit(last["doc_id"]).cast("long").alias("doc_id"), F.lit(last["size"]).cast("long").alias("size"), F.lit(last["copy"]).alias("copy")))
         taken = taken + F.when(fits, F.lit(1)).otherwise(F.lit(0))
     some = (F.col("size") > 0) & (F.col("target") > 0)
-    return queue.select("doc_id", "size", "source", "source_size", "target", F.when(some, F.col("size") * taken).otherwise(F.lit(0)).cast("long").alias("taken"))
+    return queue.select("doc_id", "size", "source", "source_size", "target", *[F.col("kept")[k].alias(k) for k in keep], F.when(some, F.col("size") * taken).otherwise(F.lit(0)).cast("long").alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
