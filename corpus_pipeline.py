@@ -7,13 +7,14 @@ compare them with brute force.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.mixing import mix_sources
 from quillspark.llm.quality_classifier import score_quality
 from quillspark.llm.sentencepiece_codec import encode_documents
-from quillspark.llm.shared import WORD, table, written
+from quillspark.llm.shared import table, written
 from quillspark.llm.shingle_join import without_copies
 from quillspark.llm.suffix_dedup import GRAM, LENGTH, find_repeats
 
@@ -36,12 +37,20 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with where each row lies in its files, which names it whatever its columns say; rows that lie in none are written first."""
+    try:
+        return docs.select(*COLUMNS, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    except AnalysisException:
+        return _named(written(docs.select(*COLUMNS)))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: each document as many times as the mix takes it."""
-    mix = mix_sources(docs).where("taken > 0").groupBy("doc_id", "size").agg((F.max("taken") / F.col("size")).cast("int").alias("copies"))
-    sized = docs.withColumn("size", F.regexp_count("text", F.lit(WORD)).cast("long"))
-    taken = sized.alias("d").join(mix.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.size") == F.col("m.size")))
-    return taken.select(*[f"d.{c}" for c in COLUMNS], F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*COLUMNS)
+    rows = _named(docs)
+    mix = mix_sources(rows, "_file", "_index").where("taken > 0").select("_file", "_index", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    taken = rows.join(mix, ["_file", "_index"])
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
