@@ -76,3 +76,31 @@ def test_tokens_are_decoded(spark):
     out = cp.tokens(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
     sp = sentencepiece_codec.codec(sentencepiece_codec.default_model()).sp
     assert {r.doc_id: r.round_trip for r in out} == {i: sp.decode(sp.encode(t)) == t for i, t in enumerate(texts)}
+
+
+def test_mixture_by_row_where_ids_are_missing_or_repeated(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(500)}"
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(word() for _ in range(10)), "en", "ab"[i % 2], 0) for i in range(90)] + [(None, "x y", "en", None, 3), (None, None, None, "a", None), (4, "", "en", "b", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(3).write.parquet(f"{tmp_path}/docs")
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    want = {}
+    for r in mixing.mix_sources(stored, "text").collect():
+        if r.taken:
+            want[r.doc_id, r.text] = want.get((r.doc_id, r.text), 0) + r.taken // r.size
+    for docs in (stored, df):
+        got = [(r.doc_id, r.text) for r in cp.mixture(spark, docs, "").collect()]
+        assert sum(want.values()) == len(got) and set(got) <= {(r[0], r[1]) for r in rows}
+        if docs is stored:
+            assert {k: got.count(k) for k in set(got)} == want
+    assert cp.mixture(spark, stored.limit(0), "").count() == 0
+
+
+def test_stages_keep_an_empty_table_and_other_columns(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, size long, row long, kept string, body binary")
+    for stage in (cp.near_copies, cp.repeats, cp.mixture):
+        assert stage(spark, docs, "").count() == 0
+    full = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11, 1, 2, "k", None), (2, "a b c d e f", "en", "s", 11, 1, 2, "k", None)], docs.schema)
+    assert [r.doc_id for r in cp.near_copies(spark, full, "").collect()] == [1]
+    assert cp.repeats(spark, full, "").columns == list(cp.COLUMNS) and cp.mixture(spark, full, "").columns == list(cp.COLUMNS)
