@@ -111,10 +111,16 @@ def trigger_words(templates: dict[str, str], t: float) -> list[str]:
     return chosen
 
 
+def neighbours(words: Column) -> Column:
+    """The bigrams of a list of words, in order; the list is worked out once."""
+    but_one = lambda w, at: F.slice(w, F.lit(at), F.greatest(F.size(w) - 1, F.lit(0)))
+    return F.transform(F.array(words), lambda w: F.zip_with(but_one(w, 1), but_one(w, 2), lambda a, b: F.concat(a, F.lit(" "), b)))[0]
+
+
 def line_match(line: Column, templates: dict[str, str], t: float) -> Column:
     """The best (dice, name) of one normalised line, null below the threshold or outside every size bound."""
     words = F.filter(F.split(line, " "), lambda w: w != "")
-    grams = F.array_distinct(F.when(F.size(words) >= 2, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>")))
+    grams = F.array_distinct(neighbours(words))
     known = F.array(*[F.struct(F.lit(k).alias("name"), F.array(*[F.lit(g) for g in bigrams(v)]).alias("grams"), F.lit(bounds(len(bigrams(v)), t)[0]).alias("lo"), F.lit(bounds(len(bigrams(v)), t)[1]).alias("hi")) for k, v in sorted(templates.items())])
     return F.transform(F.array(grams), lambda g: F.transform(F.filter(known, lambda k: F.size(g).between(k["lo"], k["hi"])), lambda k: F.struct((2.0 * F.size(F.array_intersect(g, k["grams"])) / (F.size(g) + F.size(k["grams"]))).alias("dice"), k["name"].alias("name"))))[0]
 
@@ -122,7 +128,7 @@ def line_match(line: Column, templates: dict[str, str], t: float) -> Column:
 def passage_match(text: Column, notices: dict[str, str], bodies: dict[str, str], t: float) -> Column:
     """The best (body, dice, size, name) over all windows of words of the text and all templates, bodies first, null below the threshold; line breaks don't count."""
     words = F.filter(F.split(F.regexp_replace(text, "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = neighbours(words)
     known = F.array(
         *[
             F.struct(F.lit(k).alias("name"), F.lit(k in bodies).alias("body"), F.array(*[F.lit(g) for g in bigrams(v)]).alias("grams"), F.lit(bounds(len(bigrams(v)), t)[0]).alias("lo"), F.lit(bounds(len(normalise(v)) - 1, t)[1]).alias("span"))
@@ -183,7 +189,7 @@ WITH templates(name, grams, lo, hi) AS (VALUES {rows}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 lines AS (SELECT r, unnest(string_split(regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g'), chr(10))) AS line FROM docs),
 words AS (SELECT r, list_filter(string_split(line, ' '), lambda w: w <> '') AS w FROM lines),
-grams AS (SELECT r, row_number() OVER () AS l, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) BETWEEN 2 AND 10000),
+grams AS (SELECT r, row_number() OVER () AS l, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) >= 2),
 scored AS (SELECT r, l, name, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM grams JOIN templates ON len(g) BETWEEN lo AND hi),
 good AS (SELECT r, l, name, CAST(dice AS DOUBLE) AS dice FROM scored WHERE dice >= {THRESHOLD}),
 best AS (SELECT r, max(dice) AS dice, count(DISTINCT l) AS n_lines FROM good GROUP BY r),
