@@ -13,8 +13,10 @@ chunk is then backtraced on its own from its two states. Inside a chunk, between
 the last place where a space follows a character that isn't one, no piece can cross, all paths
 agree, and the library encodes that part.
 
-Documents of at most GIANT code points do this inside one task. Longer ones are dealt out by
-chunk, so that one document's chunks are encoded by many tasks.
+A document of one chunk has no cut, and the library encodes it. Up to GIANT code points the
+chunks of a document are encoded, combined and backtraced in one task. Longer ones are dealt out
+by chunk, so that one document's chunks are encoded by many tasks; only their states' numbers
+and matrices meet by document.
 
 A null or empty text has no ids. Decoding gives the text back exactly, except that U+2581
 (the model's own mark for a space) comes back as a space. Repeated rows are encoded each.
@@ -26,13 +28,15 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkernel as tk
 from quillspark.llm.shared import n_parts, table, written
 
-CHUNK, GIANT, MARK = 16_384, 1 << 20, "▁"
+CHUNK, MARK = 16_384, "▁"
+GIANT = 4 * CHUNK
 NEVER = -np.inf
 
 
@@ -225,19 +229,19 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, size: int =
     giants = written(rows.where(long).withColumn("_row", F.expr("uuid()")))  # written, so that a row keeps its name
 
     def cut(batches):
-        side = 2 * codec(model).longest
+        side, press = 2 * codec(model).longest, zstandard.ZstdCompressor(level=1)
         for b in batches:
             for row, text in zip(b.column("_row").to_pylist(), b.column("text").to_pylist()):
                 marked = MARK + text.replace(" ", MARK)
                 for k, lo in enumerate(range(0, len(marked), size)):
                     a, hi = max(0, lo - side), min(len(marked), lo + size)
                     end = min(len(marked), hi + side)
-                    yield pa.RecordBatch.from_pydict({"_row": [row], "k": pa.array([k], pa.int32()), "part": [marked[a:end]], "lo": pa.array([lo - a], pa.int32()), "hi": pa.array([hi - a], pa.int32())})
+                    yield pa.RecordBatch.from_pydict({"_row": [row], "k": pa.array([k], pa.int32()), "part": [press.compress(marked[a:end].encode())], "lo": pa.array([lo - a], pa.int32()), "hi": pa.array([hi - a], pa.int32())})
 
     def transfer(batches):
-        c = codec(model)
+        c, d = codec(model), zstandard.ZstdDecompressor()
         for b in batches:
-            m = [c.chunk(t, lo, hi)["matrix"] for t, lo, hi in zip(*(b.column(n).to_pylist() for n in ("part", "lo", "hi")))]
+            m = [c.chunk(d.decompress(t).decode(), lo, hi)["matrix"] for t, lo, hi in zip(*(b.column(n).to_pylist() for n in ("part", "lo", "hi")))]
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("k"), pa.array([x.shape[0] for x in m], pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in m])], ["_row", "k", "n", "matrix"])
 
     def combine(rows: pa.Table) -> pa.Table:
@@ -247,12 +251,12 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, size: int =
         return pa.table([rows.column("_row"), rows.column("k"), pa.array(s[:-1], pa.int32()), pa.array(s[1:], pa.int32())], ["_row", "k", "x", "y"])
 
     def trace(batches):
-        c = codec(model)
+        c, d = codec(model), zstandard.ZstdDecompressor()
         for b in batches:
-            ids = [c.backtrace(c.chunk(t, lo, hi), x, y) for t, lo, hi, x, y in zip(*(b.column(n).to_pylist() for n in ("part", "lo", "hi", "x", "y")))]
+            ids = [c.backtrace(c.chunk(d.decompress(t).decode(), lo, hi), x, y) for t, lo, hi, x, y in zip(*(b.column(n).to_pylist() for n in ("part", "lo", "hi", "x", "y")))]
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("k"), pa.array(ids, pa.list_(pa.int32()))], ["_row", "k", "ids"])
 
-    parts = giants.select("_row", "text").mapInArrow(cut, "_row string, k int, part string, lo int, hi int").repartition(n_parts(docs.sparkSession), "_row", "k")
+    parts = giants.select("_row", "text").mapInArrow(cut, "_row string, k int, part binary, lo int, hi int").repartition(n_parts(docs.sparkSession), "_row", "k")
     states = parts.mapInArrow(transfer, "_row string, k int, n int, matrix binary").groupBy("_row").applyInArrow(combine, "_row string, k int, x int, y int")
     ids = parts.join(states, ["_row", "k"]).select("_row", "k", "part", "lo", "hi", "x", "y").mapInArrow(trace, "_row string, k int, ids array<int>")
     ids = ids.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).alias("ids"))
