@@ -53,6 +53,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def write_lines(rows: DataFrame, folder: str, key: str) -> None:
+    """A *.json file of the lines in `value` for each key, below folder. All rows of a key lie in one task, sorted by the key and then by their order in the file."""
+    rows.select(key, "value").write.partitionBy(key).text(folder)
+    hadoop = rows.sparkSession._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(f"{folder}/*/*.txt")
+    fs = where.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration())
+    for found in fs.globStatus(where):
+        path = found.getPath()
+        if not fs.rename(path, hadoop.Path(path.getParent(), path.getName().removesuffix(".txt") + ".json")):
+            raise OSError(f"{path} can't be renamed")
+
+
 def done_ids(spark: SparkSession, path: str) -> DataFrame:
     """encounter_id of what a checkpoint holds: none where it isn't there yet, and malformed lines don't count."""
     if not exists(spark, path):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark import schemas as S
 from quillspark.operators import bundles, external, faithful, passes, prompts, report, scoring, splits, stats
+from quillspark.plans import catalog
 from quillspark.sources import completer, files
 from quillspark.streaming import resume
 
@@ -63,6 +64,24 @@ def test_large_bundle(spark, tmp_path):
     assert [k for k, r in got.items() if r.record.allergies] == ["e0"]
 
 
+def test_bundle_files_are_written_line_by_line(spark, tmp_path, monkeypatch):
+    """A file for each nation, valid as a whole, of which no line holds more than a visit and what it says."""
+    spark.createDataFrame([(0,), (1,), (2,)], "n_nationkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    rows = [(k, k % 2, 'A "quoted"\nline') for k in range(1000, 0, -1)] + [(1001, 7, "no nation")]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").repartition(5).write.parquet(str(tmp_path / "customer.parquet"))
+    at = tmp_path / "at"
+    monkeypatch.setattr(files, "scratch", lambda spark: str(at))
+    got = catalog.QUERIES["bundle_files"](spark, str(tmp_path)).collect()
+    assert sorted((int(r.encounter_id), r.patient_id, r.condition) for r in got) == sorted((k, str(n), s) for k, n, s in rows[:-1])
+    for n in range(3):
+        (one,) = (at / f"folder={n}").glob("*.json")
+        assert max(map(len, one.read_text().splitlines())) < 300
+        entry = [e["resource"] for e in json.loads(one.read_text())["entry"]]
+        keys = [str(k) for k in range(1, 1001) if k % 2 == n]
+        assert entry[0] == {"resourceType": "Patient", "id": str(n)}
+        assert [e["id"] for e in entry[1::2]] == keys and [e["encounter"]["reference"] for e in entry[2::2]] == [f"Encounter/{k}" for k in keys]
+
+
 def test_stream_makes_each_encounter_once(spark, folder, tmp_path):
     out = str(tmp_path / "out")
     make = lambda df: bundles.encounters(df).select("encounter_id", F.lit("n").alias("note"))
